@@ -1,0 +1 @@
+"""Empty on purpose: the operators here are functions of whole operands, and none of them has a streaming form."""
