@@ -9,7 +9,7 @@ no rates are stored, joined or shuffled.
 The budget of tokens is what leaves the first domain's expected total as it is.  A rate becomes a whole number of copies:
 rates within ``SNAP`` of a whole number take it, others are rounded by a hash of the id in proportion to the fraction.
 
-Defined results: a null or empty text has no tokens and the posteriors of the biases; no labels: equal posteriors; rows are
+Defined results: a null or empty text has no tokens and the posteriors of the biases; no labels: all are ``clean`` and have rate 1; rows are
 judged one by one, repeated rows and extra columns too; a null id hashes as a constant; an empty table gives an empty result.
 """
 
@@ -47,6 +47,8 @@ class DomainModel:
 def fit_domains(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> DomainModel:
     """One-against-rest FTRL models on word presence, from a bounded sample of labelled rows."""
     rows = labelled_sample(documents, labels, ["quality", "toxic"], max_rows, max_chars)
+    if not rows:
+        return DomainModel([np.zeros(1 << BITS, np.float32)] * len(DOMAINS), [30.0] + [-30.0] * (len(DOMAINS) - 1))
     x = Featurizer(BITS, "presence", pairs=False).transform([r[0] for r in rows])
     kind = np.array([2 if r[2] else 0 if r[1] else 1 for r in rows], int)
     models = [fit_ftrl(x, (kind == k).astype(float), BITS, alpha=0.2, l1=10.0) for k in range(len(DOMAINS))]
