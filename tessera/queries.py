@@ -53,6 +53,11 @@ class Operands:
         return parquet_vector(self.spark, f"{self.dir}/{table}.parquet", index, value)
 
     def __getattr__(self, name: str) -> DataFrame:
+        """Made once for a query, so that its plan holds equal parts, whose shuffles Spark runs once."""
+        made = self.__dict__[name] = self._make(name)
+        return made
+
+    def _make(self, name: str) -> DataFrame:
         v, diagonal = F.col("v"), F.col("i") == F.col("j")
         if name == "E":
             return matrix_of_rows(self.table("embeddings"), "vec_id", "embedding")

@@ -8,26 +8,12 @@ Buf   pos, v        flat memory; views (``tessera.plans.views``) read increments
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 VEC = "i long, v double"
 MAT = "i long, j long, v double"
 BATCH = "b long, i long, j long, v double"
 BUF = "pos long, v double"
 
 
-@dataclass(frozen=True)
-class Shape:
-    """Rows and columns, where they are known without a job."""
-
-    rows: int
-    cols: int
-
-    @property
-    def t(self) -> Shape:
-        return Shape(self.cols, self.rows)
-
-
 def flag(value: str, allowed: str, what: str) -> str:
     """A one-letter flag in lower case; ``ValueError`` for any other letter."""
     x = value.lower() if isinstance(value, str) else ""
