@@ -51,6 +51,7 @@ def fit_domains(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROW
         return DomainModel([np.zeros(1 << BITS, np.float32)] * len(DOMAINS), [30.0] + [-30.0] * (len(DOMAINS) - 1))
     x = Featurizer(BITS, "presence", pairs=False).transform([r[0] for r in rows])
     kind = np.array([2 if r[2] else 0 if r[1] else 1 for r in rows], int)
+    del rows
     models = [fit_ftrl(x, (kind == k).astype(float), BITS, alpha=0.5, l1=10.0) for k in range(len(DOMAINS))]
     return DomainModel([m.weights for m in models], [m.bias for m in models])
 

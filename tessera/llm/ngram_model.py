@@ -19,7 +19,7 @@ _BACK = [np.uint64(x) for x in (0xB5297A4D1B56C4E9, 0x68E31DA4D3A2646D, 0x1F123B
 
 @dataclass
 class Sparse:
-    """Rows of (bucket, value), each row's buckets ascending and distinct."""
+    """Rows of (bucket, value), each row's buckets ascending and distinct; four bytes each."""
 
     starts: np.ndarray
     buckets: np.ndarray
@@ -29,7 +29,7 @@ class Sparse:
         return len(self.starts) - 1
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        sums = np.concatenate(([0.0], np.cumsum(weights[self.buckets] * self.values)))
+        sums = np.concatenate(([0.0], np.cumsum(weights[self.buckets] * self.values, dtype=np.float64)))
         return sums[self.starts[1:]] - sums[self.starts[:-1]]
 
 
@@ -59,10 +59,10 @@ class Featurizer:
                 v /= max(1e-12, float(np.sqrt((v * v).sum())))
             else:
                 v = np.ones(len(b))
-            buckets.append(b.astype(np.int64))
-            values.append(v)
+            buckets.append(b.astype(np.int32))
+            values.append(v.astype(np.float32))
             starts.append(starts[-1] + len(b))
-        return Sparse(np.array(starts), np.concatenate(buckets) if buckets else np.zeros(0, np.int64), np.concatenate(values) if values else np.zeros(0))
+        return Sparse(np.array(starts), np.concatenate(buckets) if buckets else np.zeros(0, np.int32), np.concatenate(values) if values else np.zeros(0, np.float32))
 
 
 @dataclass
@@ -82,7 +82,7 @@ def fit_ftrl(x: Sparse, y: np.ndarray, bits: int, alpha: float = 0.5, beta: floa
     for _ in range(epochs):
         for i in range(len(x)):
             at = slice(x.starts[i], x.starts[i + 1])
-            k, v = x.buckets[at], x.values[at]
+            k, v = x.buckets[at], x.values[at].astype(np.float64)
             zk, nk = z[k], n[k]
             root = np.sqrt(nk)
             w = np.where(np.abs(zk) <= l1, 0.0, (np.sign(zk) * l1 - zk) / ((beta + root) / alpha + l2))

@@ -19,7 +19,7 @@ from tessera.llm.common import map_arrow, strings
 from tessera.llm.ngram_model import Featurizer, Logistic, fit_ftrl
 
 #: The bounds of the labelled sample that a model is fitted on.
-MAX_ROWS, MAX_CHARS = 12_000, 60_000_000
+MAX_ROWS, MAX_CHARS = 10_000, 25_000_000
 THRESHOLD = 0.3
 BITS = 20
 
@@ -54,13 +54,16 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, columns: list[str],
     ids = spark.createDataFrame(chosen, "doc_id long")
     rows = texts.join(F.broadcast(known.join(F.broadcast(ids), "doc_id")), "doc_id").groupBy("doc_id", "at", *columns).agg(F.max("text").alias("text")).toArrow()
     out = sorted(zip(*(rows.column(c).to_pylist() for c in ("at", "doc_id", "text", *columns)), strict=True))
+    del rows
+    pa.default_memory_pool().release_unused()
     return [x[2:] for x in out]
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, bits: int = BITS) -> Logistic:
     rows = labelled_sample(documents, labels, ["quality"], max_rows, max_chars)
-    x = Featurizer(bits).transform([r[0] for r in rows])
-    return fit_ftrl(x, np.array([r[1] for r in rows], float), bits)
+    x, y = Featurizer(bits).transform([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    del rows
+    return fit_ftrl(x, y, bits)
 
 
 class _Scorer:
