@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, map_arrow
@@ -119,9 +119,11 @@ def search(embeddings: DataFrame, every: int = 50, k: int = K, scale: int = SCAL
             yield from _answers(asked_now, given_now, k)
 
     found = map_arrow(met.select("shard", "grp", "side", "vec_id", "q"), f, SCHEMA)
-    ranked = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = ranked.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k).alias("best"))
-    return ranked.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.minus")).alias("score"))
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    # a limit on row_number() is applied before the shuffle too, so k rows of a query leave each task
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = best.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score")
+    return ranked.where(F.col("rank") <= k)
 
 
 def _meetings(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list, Iterator]]:
