@@ -21,15 +21,17 @@ _NAMES = {
 _MAIN_NAMES = "content article post entry story main body text article-body post-content entry-content main-content story-body page-content article-text".split()
 _PLAIN_NAMES = "container wrapper row col inner page layout grid box block section outer".split()
 _ENTITIES = ["&amp;", "&lt;", "&gt;", "&quot;", "&#39;", "&eacute;", "&nbsp;", "&mdash;", "&#x2019;", "&copy;", "&middot;"]
+_SPACES = [" "] * 12 + ["\n", "  ", "&nbsp;", "<br>"]
 
 
 class _Maker:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
         self.main: list[str] = []
+        self.words = ["".join(self.r.choice(_SYLLABLES) for _ in range(self.r.randint(1, 4))) for _ in range(5000)]
 
     def word(self) -> str:
-        return "".join(self.r.choice(_SYLLABLES) for _ in range(self.r.randint(1, 4)))
+        return self.words[int(self.r.random() * len(self.words))]
 
     def plain(self, low: int, high: int) -> str:
         """Words with sentence marks, often few, sometimes none, sometimes shouted or full of symbols."""
@@ -58,7 +60,7 @@ class _Maker:
             elif x < 0.06:
                 e = f'<a href="/{self.r.randint(1, 99)}">{e}</a>'
             out.append(e)
-        return "".join(e + self.r.choice([" "] * 12 + ["\n", "  ", "&nbsp;", "<br>"]) for e in out).strip()
+        return "".join(e + _SPACES[int(self.r.random() * len(_SPACES))] for e in out).strip()
 
     def block(self, tag: str, low: int, high: int, main: bool, name: str = "") -> str:
         text = self.plain(low, high)
