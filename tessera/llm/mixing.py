@@ -4,19 +4,23 @@ A classifier fitted on the labelled table gives every document posteriors over t
 ``toxic``.  Nonnegative document rates r then minimise the squared, share-weighted distance between the expected domain token
 totals sum_i tokens_i * p_ik * r_i and the targets, by projected gradient steps from r = 1: each step is one distributed
 aggregate of a number per domain, and a document's rate follows from its own posteriors and the short history of residuals, so
-no rates are stored, joined or shuffled.
+no rates are stored, joined or shuffled.  Plain steps crawl once many rates are 0, so they are followed by steps scaled by the
+Gram matrix of the rows whose rates are positive, until every domain is within ``TOLERANCE`` of its own target.
 
-The budget of tokens is what leaves the first domain's expected total as it is.  A rate becomes a whole number of copies:
-rates within ``SNAP`` of a whole number take it, others are rounded by a hash of the id in proportion to the fraction.
+The budget of tokens is what leaves the first domain's expected total as it is.  A rate becomes a whole number of copies: its
+whole part, and one more by a hash of the row in proportion to the fraction, so the expected number of copies is the rate.
 
-Defined results: a null or empty text has no tokens and the posteriors of the biases; no labels: all are ``clean`` and have rate 1; rows are
-judged one by one, repeated rows and extra columns too; a null id hashes as a constant; an empty table gives an empty result.
+Defined results: a null or empty text has no tokens and the posteriors of the biases, and only the plain steps change its rate; no labels: all are
+``clean`` and have rate 1; targets that rates can't meet, or only by turning most documents away for a few, leave the rates of the plain steps and are
+warned of; rows are judged one by one, repeated rows and extra columns too
+(equal rows with equal ids draw alike); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,9 @@ from tessera.llm.quality import MAX_CHARS, MAX_ROWS, labelled_sample
 
 DOMAINS = ("clean", "low", "toxic")
 WEIGHTS = (0.98, 0.015, 0.005)
-BITS, SNAP, STEPS, TOLERANCE = 20, 0.25, 20, 1e-3
+BITS, STEPS, TOLERANCE = 20, 20, 1e-3
+#: Most scaled steps, and the share of a target that a unit of the closing move may miss it by, which tells targets that are out of reach.
+CLOSING, RIDGE = 40, 1e-5
 
 
 @dataclass
@@ -80,15 +86,24 @@ def _rate(history: list[list[float]], step: float) -> Column:
     return F.aggregate(steps, F.lit(1.0), lambda r, h: F.greatest(F.lit(0.0), r - sum((F.col(c) * h[k] for k, c in enumerate(_P)), F.lit(0.0))))
 
 
+def _closed(rate: Column, closing: list[float]) -> Column:
+    """max(0, .) after the sum of the scaled steps."""
+    if not any(closing):
+        return rate
+    moved = F.greatest(F.lit(0.0), rate - sum((F.col(c) * x for c, x in zip(_P, closing, strict=True)), F.lit(0.0)))
+    return F.when(F.col("_mix_tokens") > 0, moved).otherwise(rate)
+
+
 @dataclass
 class Rates:
     history: list[list[float]]
     step: float
     targets: list[float]
     totals: list[float]
+    closing: list[float] = field(default_factory=list)  # what the scaled steps add up to
 
     def column(self) -> Column:
-        return _rate(self.history, self.step)
+        return _closed(_rate(self.history, self.step), self.closing)
 
 
 def fit_rates(scored: DataFrame, weights: tuple[float, ...] = WEIGHTS, steps: int = STEPS, tolerance: float = TOLERANCE) -> Rates:
@@ -122,27 +137,76 @@ def fit_rates(scored: DataFrame, weights: tuple[float, ...] = WEIGHTS, steps: in
     return Rates(history, step, target, total)
 
 
+def _met(totals: list[float], targets: list[float], tolerance: float) -> bool:
+    """Whether every domain is within the tolerance of its own target."""
+    return all(abs(t - x) <= tolerance * x for t, x in zip(totals, targets, strict=True))
+
+
+def close_rates(scored: DataFrame, fitted: Rates, tolerance: float = TOLERANCE) -> Rates:
+    """The rates nearest to the fitted ones, by token-weighted squares, whose totals meet each domain's own target.
+
+    Such rates are max(0, fitted - sum_k p_k * m_k); Newton steps with halving find m, the minimum of a convex function of a number per domain.
+    """
+    k, budget = len(DOMAINS), sum(fitted.targets)
+    if budget <= 0 or _met(fitted.totals, fitted.targets, tolerance):
+        return fitted
+    target = np.array(fitted.targets)
+    ridge = RIDGE * np.maximum(target, 1e-6 * budget)
+    tok, r = F.col("_mix_tokens").cast("double"), F.col("_mix_r")
+    pair = [(a, b) for a in range(k) for b in range(a, k)]
+
+    def look(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Totals, gradient, Hessian and value."""
+        rows = scored.withColumn("_mix_r", _closed(_rate(fitted.history, fitted.step), m.tolist()))
+        live = F.when(r > 0, tok).otherwise(0.0)
+        row = rows.agg(*[F.sum(tok * F.col(c) * r) for c in _P], *[F.sum(live * F.col(_P[a]) * F.col(_P[b])) for a, b in pair], F.sum(tok * r * r)).first()
+        totals, h = np.array(row[:k], float), np.zeros((k, k))
+        for (a, b), x in zip(pair, row[k:-1], strict=True):
+            h[a, b] = h[b, a] = x
+        return totals, target - totals + ridge * m, h + np.diag(ridge), row[-1] / 2 + float(m @ target) + float(ridge @ (m * m)) / 2
+
+    m = np.zeros(k)
+    totals, g, h, value = look(m)
+    for _ in range(CLOSING):
+        if _met(totals.tolist(), fitted.targets, tolerance):
+            break
+        move, size = -np.linalg.solve(h, g), 1.0
+        while size > 1e-6:
+            to = np.round(m + size * move, 9)
+            seen = look(to)
+            if seen[-1] < value + 1e-4 * size * float(g @ move):
+                break
+            size /= 2
+        else:
+            break  # at the minimum, as nearly as sums of doubles tell
+        m = to
+        totals, g, h, value = seen
+    if not _met(totals.tolist(), fitted.targets, tolerance):
+        warnings.warn(f"mixing: targets {fitted.targets} are out of reach, tokens by domain are {fitted.totals}", stacklevel=2)
+        return fitted
+    return Rates(fitted.history, fitted.step, fitted.targets, totals.tolist(), m.tolist())
+
+
 def _copies(rate: Column, doc_id: Column) -> Column:
-    """Whole copies from a rate."""
+    """Whole copies, as many as the rate on average."""
     low = F.floor(rate)
-    rest = rate - low
-    drawn = F.pmod(F.xxhash64(doc_id, F.lit("mix")), F.lit(1_000_000)) / 1_000_000
-    return (low + F.when(rest <= SNAP, 0).when(rest >= 1 - SNAP, 1).otherwise((drawn < rest).cast("int"))).cast("int")
+    drawn = F.shiftrightunsigned(F.xxhash64(doc_id, "_mix_tokens", *_P, F.lit("mix")), 11) / float(1 << 53)
+    return (low + (drawn < rate - low).cast("int")).cast("int")
 
 
 def rates(documents: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """doc_id, domain, tokens, p_clean, p_low, p_toxic, rate, copies of every row."""
     scored = cut(with_posteriors(documents.select(F.col("doc_id").cast("long"), "text"), fit_domains(documents, labels)).drop("text"))
-    rate = F.round(fit_rates(scored, weights).column(), 6)
+    rate = close_rates(scored, fit_rates(scored, weights)).column()
     best = F.greatest(*_P)
     domain = F.coalesce(*[F.when(F.col(c) == best, F.lit(n)) for c, n in zip(_P, DOMAINS, strict=True)])
-    return scored.select("doc_id", domain.alias("domain"), F.col("_mix_tokens").alias("tokens"), *[F.col(c).alias(f"p_{n}") for c, n in zip(_P, DOMAINS, strict=True)], rate.alias("rate"), _copies(rate, F.col("doc_id")).alias("copies"))
+    return scored.select("doc_id", domain.alias("domain"), F.col("_mix_tokens").alias("tokens"), *[F.col(c).alias(f"p_{n}") for c, n in zip(_P, DOMAINS, strict=True)], F.round(rate, 6).alias("rate"), _copies(rate, F.col("doc_id")).alias("copies"))
 
 
 def mix(documents: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """The rows, with all their columns, each as many times as its rate says."""
     model = fit_domains(documents, labels)
     scored = cut(with_posteriors(documents.select(F.col("doc_id").cast("long"), "text"), model).drop("text"))
-    rate = F.round(fit_rates(scored, weights).column(), 6)
+    rate = close_rates(scored, fit_rates(scored, weights)).column()
     rows = with_posteriors(documents, model).withColumn("_mix_copies", _copies(rate, F.col("doc_id").cast("long")))
     return rows.withColumn("_mix_copy", F.explode(F.when(F.col("_mix_copies") > 0, F.sequence(F.lit(1), F.col("_mix_copies"))))).select(*documents.columns)

@@ -144,3 +144,24 @@ def test_mixing_odd_tables(spark, tables):
     assert {(r.p_clean, r.copies) for r in mixing.rates(odd, none).collect()} == {(1.0, 1)}
     assert mixing.rates(spark.createDataFrame([], schema), labels).collect() == []
     assert mixing.mix(spark.createDataFrame([], schema), labels).collect() == []
+
+
+def test_emitted_copies_meet_the_target_of_each_domain(spark):
+    rows, labels = corpus(6000, 5)
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = mixing.rates(docs, labels).collect()
+    p, tok = np.array([[r.p_clean, r.p_low, r.p_toxic] for r in got]), np.array([r.tokens for r in got], float)
+    target = tok @ p[:, 0] / mixing.WEIGHTS[0] * np.array(mixing.WEIGHTS)
+    rate, copies = np.array([r.rate for r in got]), np.array([r.copies for r in got])
+    assert (abs((tok * rate) @ p - target) <= 2e-3 * target).all()  # of its own target
+    part = rate - np.floor(rate)
+    spread = np.sqrt((part * (1 - part) * tok**2) @ p**2)
+    assert (abs((tok * copies) @ p - target) <= 2e-3 * target + 3 * spread).all() and (3 * spread < 0.7 * target).all()  # losing a domain fails
+    assert ((np.floor(rate) <= copies) & (copies <= np.ceil(rate))).all()
+
+
+def test_copies_are_drawn_without_bias(spark):
+    some = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.col("id").alias("_mix_tokens"), *[F.lit(0.5).alias(c) for c in mixing._P])
+    for rate in (0.03, 0.1, 0.8, 1.2, 2.0):
+        mean = some.agg(F.avg(mixing._copies(F.lit(rate), F.col("doc_id")))).first()[0]
+        assert abs(mean - rate) < 0.015
