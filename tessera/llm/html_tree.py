@@ -1,4 +1,7 @@
-"""HTML to block-level trees: a tolerant tokeniser, implied end tags, and the text of blocks."""
+"""HTML to block-level trees: a tolerant tokeniser, implied end tags, and the text of blocks.
+
+The content of a raw element ends at ``</name`` before white space, ``/`` or ``>``, or with the page; nothing else in it is markup.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +13,9 @@ import numpy as np
 
 _TAG = re.compile(r"""<(?:!--(.*?)(?:-->|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|[!?/][^>]*+(?:>|\Z)|([A-Za-z/][^>]*+)(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([A-Za-z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+RAW = frozenset("script style title textarea noscript iframe".split())
+#: The end of an element's raw content.
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _SENTENCE = re.compile(r"[.,;:!?]")
 
@@ -17,7 +23,6 @@ BLOCKS = frozenset("html body address article aside blockquote center details di
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not text of the page.
 HIDDEN = frozenset("script style title textarea noscript template svg math head iframe object select option button".split())
-RAW = frozenset("script style title textarea noscript iframe".split())
 #: start tag -> open elements that it ends, and where the search for them stops
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _ENDS_P = BLOCKS - {"html", "body", "option", "select", "iframe", "object", "template", "tbody", "thead", "tfoot", "tr", "td", "th", "caption"}
@@ -59,7 +64,6 @@ def parse(source: str) -> Page:
     stack: list[tuple[str, int]] = [("#document", 0)]
     pieces: list[str] = []
     in_link = hidden = 0
-    skip: str | None = None  # inside a raw element
     at, last = 0, len(source)
 
     def flush() -> None:
@@ -82,28 +86,19 @@ def parse(source: str) -> Page:
             hidden -= name in HIDDEN
 
     def said(text: str) -> None:
-        if text and not hidden and skip is None:
+        if text and not hidden:
             text = html.unescape(text) if "&" in text else text
             pieces.append(text)
             if in_link:
                 page.link_chars[stack[-1][1]] += len(text)
 
-    for m in _TAG.finditer(source):
-        start = m.start()
-        name = m[3]
-        if skip is not None:
-            if name is None or not m[2] or name.lower() != skip:
-                continue
-            skip, at = None, m.end()
-            if name.lower() not in BLOCKS:
-                continue
-        else:
-            if start > at:
-                said(source[at:start])
-            at = m.end()
-            if name is None:
-                continue
-        name = name.lower()
+    while m := _TAG.search(source, at):
+        if m.start() > at:
+            said(source[at : m.start()])
+        at = m.end()
+        if m[3] is None:
+            continue
+        name = m[3].lower()
         if m[2]:
             if name in BLOCKS or name == "head":
                 for k in range(len(stack) - 1, 0, -1):
@@ -119,7 +114,8 @@ def parse(source: str) -> Page:
         if name == "body" and any(x[0] == "head" for x in stack):
             close(next(k for k, x in enumerate(stack) if x[0] == "head"))
         if name in RAW:
-            skip = name
+            end = _RAW_END[name].search(source, at)
+            at = end.start() if end else last  # the end tag comes next
             continue
         if name not in BLOCKS and name != "head":
             node = stack[-1][1]
@@ -164,7 +160,7 @@ def parse(source: str) -> Page:
         in_link = 0
         stack.append((name, node))
         hidden += name in HIDDEN
-    if skip is None and at < last:
+    if at < last:
         said(source[at:])
     close(0)
     return page

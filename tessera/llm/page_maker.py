@@ -21,6 +21,8 @@ _NAMES = {
 _MAIN_NAMES = "content article post entry story main body text article-body post-content entry-content main-content story-body page-content article-text".split()
 _PLAIN_NAMES = "container wrapper row col inner page layout grid box block section outer".split()
 _ENTITIES = ["&amp;", "&lt;", "&gt;", "&quot;", "&#39;", "&eacute;", "&nbsp;", "&mdash;", "&#x2019;", "&copy;", "&middot;"]
+#: Raw elements whose content looks like markup that never ends.
+_SCRIPTS = ["<script>for(i=0;i<n;i++){f(i)}</script>", "<script>if(a<b){g('it')}</script >", "<script><!-- h()</script>", '<style>a<b{content:"<p>"}</style>', "<SCRIPT>var q='</scripts><!--';</SCRIPT>", "<noscript><!-- off</noscript>"]
 _SPACES = [" "] * 12 + ["\n", "  ", "&nbsp;", "<br>"]
 
 
@@ -177,8 +179,8 @@ class _Maker:
         ends = some(["comments", "aside", "form", "social", "ad", "footer", "notice"], 0.35)
         r.shuffle(tops)
         title = html.escape(self.plain(2, 9))
-        head = f'<head><meta charset="utf-8"><title>{title}</title><style>p{{margin:0}}</style><script>var t="</p>";track({r.randint(0, 9)});</script></head>'
-        noise = lambda: r.choice(["", "", "", "<!-- note -->", "<script>x('<p>')</script>", "<noscript><p>off</p></noscript>", "<hr>"])
+        head = f'<head><meta charset="utf-8"><title>{title}</title><style>p{{margin:0}}</style><script>var t="</p>";track({r.randint(0, 9)});</script>{r.choice(_SCRIPTS) if r.random() < 0.3 else ""}</head>'
+        noise = lambda: r.choice(["", "", "", "<!-- note -->", "<script>x('<p>')</script>", "<noscript><p>off</p></noscript>", "<hr>", r.choice(_SCRIPTS)])
         body = noise().join([*tops, inner, *ends]) + noise()
         return f'<!DOCTYPE html><html lang="xx">{head}<body{self.attribute(_PLAIN_NAMES) if r.random() < 0.3 else ""}>{body}' + r.choice(["</body></html>", "</body></html>", ""]), list(self.main)
 

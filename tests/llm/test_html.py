@@ -70,3 +70,12 @@ def test_odd_rows(spark, model):
     assert {r.page_id: r.text for r in got if r.page_id in (1, 2, 3)} == {1: "", 2: "", 3: "plain text"}
     assert next(r for r in got if r.page_id == 5).n_chars == 50_000 * 11 - 1
     assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string"), model).collect() == []
+
+
+def test_raw_elements_end_at_their_end_tag(model):
+    for raw in [*page_maker._SCRIPTS, "<script>x = '<a href=\"</script>", "<title>a <b</title>", "<textarea><!-- </textarea\n>", "<iframe><i</iframe>", "<script></scripts><p>no</p></SCRIPT/>"]:
+        assert [t for _, t in parse(f"<p>a</p>{raw}<article><p>Text</p></article>").blocks] == ["a", "Text"], raw
+        page = PAGE.replace("<body>", "<body>" + raw).replace("<article>", raw + "<article>")
+        assert html_extract.extract([page], model)[0][0] == html_extract.extract([PAGE], model)[0][0], raw
+    assert [t for _, t in parse("<p>a</p><script>i<n;</scripts><p>b</p>").blocks] == ["a"]
+    assert any("i<n;i++" in source for source, _ in page_maker.make(100, 3))
