@@ -19,7 +19,7 @@ from tessera.llm.common import map_arrow, strings
 from tessera.llm.ngram_model import Featurizer, Logistic, fit_ftrl
 
 #: The bounds of the labelled sample that a model is fitted on.
-MAX_ROWS, MAX_CHARS = 10_000, 25_000_000
+MAX_ROWS, MAX_CHARS = 12_000, 60_000_000
 THRESHOLD = 0.3
 BITS = 20
 
@@ -32,7 +32,8 @@ def held_out(doc_id) -> F.Column:
 def labelled_sample(documents: DataFrame, labels: DataFrame, columns: list[str], max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> list[tuple]:
     """(text, label, ...) of labelled rows that aren't held out, in the order of a hash of their ids.
 
-    At most ``max_rows`` rows, and no more of them than hold ``max_chars`` characters: what the driver gathers is bounded.
+    At most ``max_rows`` rows and ``max_chars`` characters: what the driver gathers is bounded.  A text that doesn't fit into what is left
+    of the characters is passed over.
     """
     spark = documents.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -45,9 +46,9 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, columns: list[str],
     sizes = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "at").agg(F.max(F.length("text")).alias("n")).orderBy("at", "doc_id").limit(max_rows).collect()
     chosen, total = [], 0
     for r in sizes:
+        if total + r["n"] > max_chars:
+            continue
         total += r["n"]
-        if total > max_chars and chosen:
-            break
         chosen.append((r["doc_id"],))
     if not chosen:
         return []

@@ -165,3 +165,11 @@ def test_copies_are_drawn_without_bias(spark):
     for rate in (0.03, 0.1, 0.8, 1.2, 2.0):
         mean = some.agg(F.avg(mixing._copies(F.lit(rate), F.col("doc_id")))).first()[0]
         assert abs(mean - rate) < 0.015
+
+
+def test_a_text_beyond_the_bound_is_passed_over(spark, tables):
+    docs, labels, _, _ = tables
+    first = quality.labelled_sample(docs, labels, ["quality"], max_rows=1)[0][0]
+    huge = docs.withColumn("text", F.when(F.col("text") == first, F.repeat(F.lit("word "), 100_000)).otherwise(F.col("text")))
+    some = quality.labelled_sample(huge, labels, ["quality"], max_rows=50, max_chars=100_000)
+    assert len(some) == 49 and sum(len(t) for t, _ in some) <= 100_000
