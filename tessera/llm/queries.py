@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import chat, exact_dedup, html_extract, mixing, neardup, packing, quality, secret_scan, topk, warc
 
@@ -58,7 +59,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.groups(_table(spark, sf_dir, "documents"), keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    found = exact_dedup.groups(_table(spark, sf_dir, "documents"), keep="largest")
+    each = found.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))  # a row per row, repeated ones too
+    return each.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import hashlib
 
-from tessera.llm import exact_dedup
+import duckdb
+
+from tessera.llm import exact_dedup, queries
 
 A_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ROWS = [(1, "Ab É", 9), (2, "aB É", 8), (3, "ab é", 7), (4, None, 6), (5, "", 5), (6, "x" * 200_000, 4), (7, "X" * 200_000, 3), (7, "x" * 200_000, 2), (8, "Straße", 1), (9, "STRASSE", 0), (None, "Ab é", 0)]
@@ -48,3 +50,13 @@ def test_keep_one_keeps_columns_and_one_row_of_each_group(spark):
 def test_empty_table(spark):
     assert found(exact_dedup.groups(table(spark, []), "largest")) == set()
     assert exact_dedup.keep_one(table(spark, [])).collect() == []
+
+
+def test_the_query_gives_a_row_per_row_as_its_sql_does(spark, tmp_path):
+    df = spark.createDataFrame([(1, "Ab"), (1, "Ab"), (1, "aB"), (2, "ab"), (None, "x"), (None, "x"), (3, None)], "doc_id long, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in queries.op9_exact_dedup(spark, str(tmp_path)).collect()]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = db.execute(queries.ORACLES["op9_exact_dedup"]).fetchall()
+    assert len(got) == 7 and sorted(map(str, got)) == sorted(map(str, want))
