@@ -1,7 +1,6 @@
 """Matrix-matrix operators on Mat (i, j, v) and Batch (b, i, j, v).
 
-Small products are an equi-join of elements on the contracted index; large ones join tiles of ``TILE`` x ``TILE`` elements, multiply each
-pair in numpy and add the results by tile with map-side combining.  ``alpha == 0`` scales C alone, ``beta == 0`` never reads it.
+Products choose their strategy by shape (``tessera.operators.product``).  ``alpha == 0`` scales C alone, ``beta == 0`` never reads it.
 """
 
 from __future__ import annotations
@@ -13,64 +12,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.product import batched, product
 from tessera.operators.solve import solve
-from tessera.plans.strategy import TILE, product_strategy
+from tessera.plans.strategy import TILE
 from tessera.plans.views import mirror, transpose
 from tessera.schema import flag, positive, transposed
 
 
-def _batched(df: DataFrame) -> list[str]:
-    return ["b"] if "b" in df.columns else []
-
-
-def _elements(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Keys, i, j, p; an operand without a batch index is shared by all matrices of the other."""
-    left = a.select(*_batched(a), "i", F.col("j").alias("k"), F.col("v").alias("x"))
-    right = b.select(*_batched(b), F.col("i").alias("k"), "j", F.col("v").alias("y"))
-    on = ["k", *(c for c in _batched(left) if c in right.columns)]
-    keys = list(dict.fromkeys([*_batched(left), *_batched(right), "i", "j"]))
-    return left.join(right, on).groupBy(*keys).agg(F.sum(F.col("x") * F.col("y")).alias("p"))
-
-
-def _tiles(a: DataFrame, b: DataFrame, tile: int) -> DataFrame:
-    def cells(df: DataFrame, row: str, col: str, name: str) -> DataFrame:
-        at = lambda c: (F.col(c) / tile).cast("long")
-        inner = F.struct(F.pmod("i", F.lit(tile)).cast("int").alias("r"), F.pmod("j", F.lit(tile)).cast("int").alias("c"), "v")
-        return df.groupBy(at("i").alias(row), at("j").alias(col)).agg(F.collect_list(inner).alias(name))  # tile * tile elements at most
-
-    met = cells(a, "bi", "bk", "x").join(cells(b, "bk", "bj", "y"), "bk").select("bi", "bj", *[F.col(f"{m}.{c}").alias(f"{m}{c}") for m in "xy" for c in "rcv"])
-
-    def multiply(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            out = []
-            for bi, bj, *xy in zip(*(batch.column(k).to_pylist() if k < 2 else [x.values.to_numpy(zero_copy_only=False) for x in batch.column(k)] for k in range(8)), strict=True):
-                x, y = np.zeros((tile, tile)), np.zeros((tile, tile))
-                x[xy[0], xy[1]], y[xy[3], xy[4]] = xy[2], xy[5]
-                p = x @ y
-                rows, cols = int(xy[0].max()) + 1, int(xy[4].max()) + 1
-                out.append((bi, bj, rows, p[:rows, :cols].ravel(order="F")))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64())], strict=True)], ["bi", "bj", "rows", "data"])
-
-    done = met.mapInArrow(multiply, "bi long, bj long, rows long, data array<double>").select("bi", "bj", "rows", F.posexplode("data").alias("pos", "v"))
-    i, j = F.col("bi") * tile + F.pmod("pos", "rows"), F.col("bj") * tile + (F.col("pos") / F.col("rows")).cast("long")
-    return done.groupBy(i.alias("i"), j.alias("j")).agg(F.sum("v").alias("p"))
-
-
-def product(a: DataFrame, b: DataFrame, strategy: str = "auto", tile: int = TILE) -> DataFrame:
-    """Keys, i, j, p of A B."""
-    if _batched(a) or _batched(b) or product_strategy(a, b, strategy) == "elements":
-        return _elements(a, b)
-    return _tiles(a, b, tile)
-
-
-def gemm(transa: str, transb: str, alpha: float, a: DataFrame, b: DataFrame, beta: float = 0.0, c: DataFrame | None = None, strategy: str = "auto", tile: int = TILE) -> DataFrame:
-    """alpha op(A) op(B) + beta C.  With ``alpha == 0`` C gives the shape, and flags aren't looked at."""
+def gemm(transa: str, transb: str, alpha: float, a: DataFrame, b: DataFrame, beta: float = 0.0, c: DataFrame | None = None, strategy: str = "auto", tile: int = TILE, size: tuple[int, int, int] | None = None) -> DataFrame:
+    """alpha op(A) op(B) + beta C.  With ``alpha == 0`` C gives the shape, and flags aren't looked at.  ``size`` is (m, n, k), where known."""
     if alpha == 0:
         if c is None:
             raise ValueError("alpha is 0: c must be given")
-        keys = [*_batched(c), "i", "j"]
+        keys = [*batched(c), "i", "j"]
         return c.select(*keys, (F.lit(0.0) if beta == 0 else F.lit(float(beta)) * F.col("v")).alias("v"))
-    p = product(transpose(a) if transposed(transa) else a, transpose(b) if transposed(transb) else b, strategy, tile)
+    p = product(transpose(a) if transposed(transa) else a, transpose(b) if transposed(transb) else b, strategy, tile, size)
     keys = [x for x in p.columns if x != "p"]
     scaled = F.lit(float(alpha)) * F.col("p")
     if beta == 0 or c is None:
@@ -85,7 +41,7 @@ def gemm_batched(transa: str, transb: str, alpha: float, a: DataFrame, b: DataFr
 
 def gemm_strided_batched(transa: str, transb: str, alpha: float, a: DataFrame, b: DataFrame, beta: float = 0.0, c: DataFrame | None = None) -> DataFrame:
     """An operand of stride 0 is a plain Mat, shared by the batch."""
-    if not _batched(a) and not _batched(b) and (c is None or not _batched(c)):
+    if not batched(a) and not batched(b) and (c is None or not batched(c)):
         raise ValueError("no operand has a batch index")
     return gemm(transa, transb, alpha, a, b, beta, c)
 
@@ -109,16 +65,19 @@ def gemm_complex(transa: str, transb: str, alpha: complex, a: DataFrame, b: Data
     return c.join(p, ["i", "j"], "left").select("i", "j", F.struct((F.coalesce(re, zero) + cr * be.real - ci * be.imag).alias("re"), (F.coalesce(im, zero) + cr * be.imag + ci * be.real).alias("im")).alias("v"))
 
 
-def symm(side: str, uplo: str, alpha: float, a: DataFrame, b: DataFrame, beta: float = 0.0, c: DataFrame | None = None, strategy: str = "auto") -> DataFrame:
+def symm(side: str, uplo: str, alpha: float, a: DataFrame, b: DataFrame, beta: float = 0.0, c: DataFrame | None = None, strategy: str = "auto", size: tuple[int, int, int] | None = None) -> DataFrame:
     s = mirror(a, uplo)
     left, right = (s, b) if flag(side, "lr", "side") == "l" else (b, s)
-    return gemm("n", "n", alpha, left, right, beta, c, strategy)
+    return gemm("n", "n", alpha, left, right, beta, c, strategy, size=size)
 
 
 def trsm(side: str, uplo: str, trans: str, diag: str, m: int, n: int, alpha: float, a: DataFrame, b: DataFrame, block: int = 1024) -> DataFrame:
-    """X (m x n) of op(A) X = alpha B or X op(A) = alpha B."""
+    """X (m x n) of op(A) X = alpha B or X op(A) = alpha B.  With ``alpha == 0`` X is zero, and neither A nor B's elements are read."""
     positive(m=m, n=n)
-    scaled = b.select("i", "j", (F.lit(0.0) if alpha == 0 else F.lit(float(alpha)) * F.col("v")).alias("v"))
+    flag(side, "lr", "side"), flag(uplo, "ul", "uplo"), flag(diag, "nu", "diag"), transposed(trans)
+    if alpha == 0:
+        return b.select("i", "j", F.lit(0.0).alias("v"))
+    scaled = b.select("i", "j", (F.lit(float(alpha)) * F.col("v")).alias("v"))
     if flag(side, "lr", "side") == "l":
         return solve(uplo, trans, diag, m, n, a, scaled, block)
     other = "n" if transposed(trans) else "t"

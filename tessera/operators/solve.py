@@ -1,8 +1,10 @@
 """Triangular solves.
 
 All forms become a lower, untransposed system: transposing swaps the indices, an upper triangle is turned round.  Up to ``block``
-unknowns the triangle goes once to each group of right-hand sides, which are solved in parallel.  Beyond, blocks of rows are solved one
-after the other; each step updates all rows below by one distributed product and cuts the lineage with a checkpoint.
+unknowns the triangle goes once to each group of right-hand sides, which are solved in parallel.  Beyond, the triangle and the right-hand
+sides are written once by rows of blocks, so that a step reads its own row alone; the blocks on the diagonal are inverted in parallel
+before the first step; and step s is X_s = inverse_s (B_s - sum over k < s of T_sk X_k), two products by the strategy of any product.
+A part of X is written once, in a folder of its own, and never changed.
 """
 
 from __future__ import annotations
@@ -12,9 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.strategy import cut
+from tessera.operators.product import product
+from tessera.plans.strategy import fresh_dir
 from tessera.plans.views import transpose, triangle
-from tessera.schema import flag, nonnegative, transposed
+from tessera.schema import MAT, flag, nonnegative, transposed
 
 #: Right-hand sides that are solved together.
 TOGETHER = 64
@@ -29,27 +32,72 @@ def forward(lower: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def _block_solve(a: DataFrame, b: DataFrame, first: int, n: int, cols: int) -> DataFrame:
-    """Rows first .. first + n of a lower system whose earlier unknowns are already taken out of b."""
+def _whole(a: DataFrame, b: DataFrame, n: int, cols: int) -> DataFrame:
     groups = max(1, -(-cols // TOGETHER))
-    tri = a.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "i", "j", "v")
-    rhs = b.select((F.col("j") / TOGETHER).cast("int").alias("g"), "i", "j", "v")
+    # both sides may come from one table: new names keep Spark from taking the columns of one for the other's
+    tri = a.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("tg"), F.col("i").alias("ti"), F.col("j").alias("tj"), F.col("v").alias("tv"))
+    rhs = b.select((F.col("j") / TOGETHER).cast("int").alias("bg"), F.col("i").alias("bi"), F.col("j").alias("bj"), F.col("v").alias("bv"))
 
     def solve(right: pd.DataFrame, left: pd.DataFrame) -> pd.DataFrame:
         if not len(right):
             return pd.DataFrame({"i": [], "j": [], "v": []}).astype({"i": "int64", "j": "int64", "v": "float64"})
-        lower, columns = np.zeros((n, n)), np.unique(right["j"])
-        lower[left["i"] - first, left["j"] - first] = left["v"]
+        lower, columns = np.zeros((n, n)), np.unique(right["bj"])
+        lower[left["ti"], left["tj"]] = left["tv"]
         x = np.zeros((n, len(columns)))
-        x[right["i"] - first, np.searchsorted(columns, right["j"])] = right["v"]
+        x[right["bi"], np.searchsorted(columns, right["bj"])] = right["bv"]
         x = forward(lower, x)
-        return pd.DataFrame({"i": np.repeat(np.arange(first, first + n), len(columns)), "j": np.tile(columns, n), "v": x.ravel()})
+        return pd.DataFrame({"i": np.repeat(np.arange(n), len(columns)), "j": np.tile(columns, n), "v": x.ravel()})
 
-    return rhs.groupBy("g").cogroup(tri.groupBy("g")).applyInPandas(solve, "i long, j long, v double")
+    return rhs.groupBy("bg").cogroup(tri.groupBy("tg")).applyInPandas(solve, MAT)
+
+
+def _inverses(diagonal: DataFrame, n: int, block: int) -> DataFrame:
+    """s, i, j, v: the inverses of the blocks (s, i, j, v), each in one task; i and j count from the block's corner."""
+
+    def invert(rows: pd.DataFrame) -> pd.DataFrame:
+        s = int(rows["s"].iloc[0])
+        size = min(block, n - s * block)
+        lower = np.zeros((size, size))
+        lower[rows["i"] - s * block, rows["j"] - s * block] = rows["v"]
+        inverse = np.tril(forward(lower, np.eye(size)))
+        i, j = np.tril_indices(size)
+        return pd.DataFrame({"s": s, "i": i, "j": j, "v": inverse[i, j]})
+
+    return diagonal.groupBy("s").applyInPandas(invert, f"s long, {MAT}")
+
+
+def _stepwise(a: DataFrame, b: DataFrame, n: int, cols: int, block: int) -> DataFrame:
+    spark, at = a.sparkSession, lambda c: (F.col(c) / block).cast("long")
+    folder, steps = fresh_dir(a.sparkSession, "solve"), -(-n // block)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        """By rows of blocks: a filter on s reads one folder."""
+        spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != "v"]), F.lit(max(1, -(-n // (4 * block)))))
+        df.repartition("s", spread).write.partitionBy("s").parquet(f"{folder}/{name}")
+        return spark.read.schema(f"{MAT}, s long").parquet(f"{folder}/{name}")
+
+    t = a.withColumn("s", at("i"))
+    inverses = keep(_inverses(t.where(at("j") == F.col("s")).select("s", "i", "j", "v"), n, block), "inverse")
+    below = keep(t.where(at("j") < F.col("s")), "triangle")
+    rhs = keep(b.select("i", "j", "v", at("i").alias("s")), "rhs")
+    for s in range(steps):
+        size, mine = min(block, n - s * block), F.col("s") == s
+        local = (F.col("i") - s * block).alias("i")
+        right = rhs.where(mine).select(local, "j", "v")
+        if s:
+            known = spark.read.schema(MAT).parquet(*[f"{folder}/x/{k}" for k in range(s)])
+            gone = product(below.where(mine).select(local, "j", "v"), known, size=(size, cols, s * block))
+            right = right.join(gone, ["i", "j"], "left").select("i", "j", (F.col("v") - F.coalesce("p", F.lit(0.0))).alias("v"))
+        x = product(inverses.where(mine).select("i", "j", "v"), right, size=(size, cols, size))
+        x.select((F.col("i") + s * block).alias("i"), "j", F.col("p").alias("v")).write.mode("overwrite").parquet(f"{folder}/x/{s}")
+    return spark.read.schema(MAT).parquet(*[f"{folder}/x/{k}" for k in range(steps)])
 
 
 def solve(uplo: str, trans: str, diag: str, n: int, cols: int, a: DataFrame, b: DataFrame, block: int = 1024) -> DataFrame:
-    """X (i, j, v) of op(A) X = B, for n unknowns and ``cols`` right-hand sides."""
+    """X (i, j, v) of op(A) X = B, for n unknowns and ``cols`` right-hand sides.
+
+    A zero on the diagonal makes infinities and NaN, in a blocked solve also in other rows of its block.
+    """
     nonnegative(n=n, cols=cols)
     lower = (flag(uplo, "ul", "uplo") == "l") != transposed(trans)
     t = triangle(a, uplo, diag)
@@ -59,24 +107,7 @@ def solve(uplo: str, trans: str, diag: str, n: int, cols: int, a: DataFrame, b:
     if not lower:
         t = t.select((turn - F.col("i")).alias("i"), (turn - F.col("j")).alias("j"), "v")
         b = b.select((turn - F.col("i")).alias("i"), "j", "v")
-    if n <= block:
-        x = _block_solve(t, b, 0, n, cols)
-    else:
-        left, parts = cut(b.select("i", "j", "v")), []
-        t = cut(t)
-        for first in range(0, n, block):
-            size = min(block, n - first)
-            inside = F.col("i").between(first, first + size - 1)
-            now = cut(_block_solve(t.where(inside & (F.col("j") >= first)), left.where(inside), first, size, cols))
-            parts.append(now)
-            below = t.where((F.col("i") >= first + size) & F.col("j").between(first, first + size - 1))
-            if first + size < n:
-                known = now.select(F.col("i").alias("k"), "j", F.col("v").alias("x"))
-                gone = below.select("i", F.col("j").alias("k"), F.col("v").alias("a")).join(known, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("x")).alias("p"))
-                left = cut(left.where(F.col("i") >= first + size).join(gone, ["i", "j"], "left").select("i", "j", (F.col("v") - F.coalesce("p", F.lit(0.0))).alias("v")))
-        x = parts[0]
-        for p in parts[1:]:
-            x = x.unionByName(p)
+    x = _whole(t, b, n, cols) if n <= block else _stepwise(t, b, n, cols, block)
     return x if lower else x.select((turn - F.col("i")).cast("long").alias("i"), "j", "v")
 
 

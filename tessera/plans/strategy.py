@@ -1,36 +1,55 @@
-"""Choices that Catalyst can't make: sizes from its statistics, and where lineage is cut."""
+"""Choices that Catalyst can't make: strategies by shape, folders that all executors share, and where lineage is cut."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Below this size of both operands a product is an equi-join of elements; above it, of tiles.
-ELEMENT_JOIN_BYTES = 64 << 20
+#: Up to this number of multiplications a product is an equi-join of elements; above it, tiles meet on a grid.
+ELEMENT_WORK = 1 << 24
 TILE = 256
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of a result, without a job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def shape(a: DataFrame, b: DataFrame) -> tuple[int, int, int]:
+    """(m, n, k) of A B, read from the operands' largest indices: an aggregate of a row over each of them."""
+    m, k = a.agg(F.max("i"), F.max("j")).first()
+    n, k2 = b.agg(F.max("j"), F.max("i")).first()
+    return tuple(0 if x is None else int(x) + 1 for x in (m, n, max((x for x in (k, k2) if x is not None), default=None)))
 
 
-def product_strategy(a: DataFrame, b: DataFrame, strategy: str = "auto") -> str:
+def product_strategy(m: int, n: int, k: int, strategy: str = "auto") -> str:
     if strategy not in ("auto", "elements", "tiles"):
         raise ValueError(f"unknown strategy {strategy!r}")
     if strategy != "auto":
         return strategy
-    return "elements" if max(plan_bytes(a), plan_bytes(b)) <= ELEMENT_JOIN_BYTES else "tiles"
+    return "elements" if m * n * k <= ELEMENT_WORK else "tiles"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Eager checkpoint in ``spark.checkpoint.dir``; where that is unset, in a folder of this machine (local mode) or the warehouse."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that every executor shares: ``spark.checkpoint.dir``.
+
+    Where that is unset, one is made in local mode (tests, a laptop); on a cluster it is an error, as no folder of one machine will do.
+    """
     sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not ((sc.master or "").startswith("local[") or sc.master == "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
     if sc.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = f"file://{tempfile.mkdtemp(prefix='tessera-')}" if (sc.master or "").startswith("local[") else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
         sc.setCheckpointDir(base)
+    return base
+
+
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A new folder's URI below the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Eager checkpoint into the shared folder: later reads survive the loss of an executor and of its shuffle files."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(True)

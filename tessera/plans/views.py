@@ -6,6 +6,7 @@ Writing back leaves every element outside the view as it was.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,10 +14,15 @@ from pyspark.sql import functions as F
 
 from tessera.schema import flag, nonnegative, positive
 
+
 def _div(x: Column, by: int) -> Column:
     return ((x - F.pmod(x, F.lit(by))) / by).cast("long") if by != 1 else x.cast("long")
 
 
+def _read(buf: DataFrame, view) -> DataFrame:
+    return buf.where(view.inside()).select(*view.keys(), F.col("v").cast("double").alias("v"))
+
+
 @dataclass(frozen=True)
 class VectorView:
     """n elements, ``inc`` apart, from ``off``; a negative increment walks back from the far end."""
@@ -30,11 +36,16 @@ class VectorView:
         if self.inc == 0:
             raise ValueError("inc must not be 0")
 
-    def read(self, buf: DataFrame) -> DataFrame:
+    def inside(self) -> Column:
         step, k = abs(self.inc), F.col("pos") - self.off
-        at = _div(k, step)
-        rows = buf.where((k >= 0) & (k <= (self.n - 1) * step) & (F.pmod(k, F.lit(step)) == 0)) if self.n else buf.where(F.lit(False))
-        return rows.select((at if self.inc > 0 else F.lit(self.n - 1) - at).cast("long").alias("i"), F.col("v").cast("double").alias("v"))
+        return (k >= 0) & (k <= (self.n - 1) * step) & (F.pmod(k, F.lit(step)) == 0) if self.n else F.lit(False)
+
+    def keys(self) -> list[Column]:
+        at = _div(F.col("pos") - self.off, abs(self.inc))
+        return [(at if self.inc > 0 else F.lit(self.n - 1) - at).cast("long").alias("i")]
+
+    def read(self, buf: DataFrame) -> DataFrame:
+        return _read(buf, self)
 
     def place(self) -> Column:
         i = F.col("i") if self.inc > 0 else F.lit(self.n - 1) - F.col("i")
@@ -61,18 +72,25 @@ class MatrixView:
         if self.batch and self.stride < self.ld * (self.n - 1) + self.inc * (self.m - 1) + 1:
             raise ValueError("stride is shorter than a matrix")
 
-    def read(self, buf: DataFrame) -> DataFrame:
-        k = F.col("pos") - self.off
-        rows = buf.where(k >= 0)
-        keys: list[Column] = []
+    def _split(self) -> tuple[list[Column], Column, Column, Column]:
+        """Batch, if any, the column, the row, and what the inner increment leaves over."""
+        k, b = F.col("pos") - self.off, []
         if self.batch:
-            b = _div(k, self.stride)
-            rows = rows.where(b < self.batch)
-            keys, k = [b.alias("b")], F.pmod(k, F.lit(self.stride))
-        j, rest = _div(k, self.ld), F.pmod(k, F.lit(self.ld))
-        i = _div(rest, self.inc)
-        rows = rows.where((j < self.n) & (i < self.m) & (F.pmod(rest, F.lit(self.inc)) == 0))
-        return rows.select(*keys, i.alias("i"), j.alias("j"), F.col("v").cast("double").alias("v"))
+            b, k = [_div(k, self.stride)], F.pmod(k, F.lit(self.stride))
+        rest = F.pmod(k, F.lit(self.ld))
+        return b, _div(k, self.ld), _div(rest, self.inc), F.pmod(rest, F.lit(self.inc))
+
+    def inside(self) -> Column:
+        b, j, i, over = self._split()
+        within = (F.col("pos") >= self.off) & (j < self.n) & (i < self.m) & (over == 0)
+        return within & (b[0] < self.batch) if b else within
+
+    def keys(self) -> list[Column]:
+        b, j, i, _ = self._split()
+        return [*(x.alias("b") for x in b), i.alias("i"), j.alias("j")]
+
+    def read(self, buf: DataFrame) -> DataFrame:
+        return _read(buf, self)
 
     def place(self) -> Column:
         at = F.col("i") * self.inc + F.col("j") * self.ld + self.off
@@ -89,12 +107,20 @@ class InterleavedView:
     batch: int
     off: int = 0
 
-    def read(self, buf: DataFrame) -> DataFrame:
+    def _split(self) -> tuple[Column, Column, Column]:
         k = F.col("pos") - self.off
         rest = _div(k, self.batch)
-        i, j = F.pmod(rest, F.lit(self.ld)), _div(rest, self.ld)
-        rows = buf.where((k >= 0) & (i < self.m) & (j < self.n))
-        return rows.select(F.pmod(k, F.lit(self.batch)).cast("long").alias("b"), i.cast("long").alias("i"), j.alias("j"), F.col("v").cast("double").alias("v"))
+        return F.pmod(k, F.lit(self.batch)).cast("long"), F.pmod(rest, F.lit(self.ld)).cast("long"), _div(rest, self.ld)
+
+    def inside(self) -> Column:
+        _, i, j = self._split()
+        return (F.col("pos") >= self.off) & (i < self.m) & (j < self.n)
+
+    def keys(self) -> list[Column]:
+        return [x.alias(n) for x, n in zip(self._split(), "bij", strict=True)]
+
+    def read(self, buf: DataFrame) -> DataFrame:
+        return _read(buf, self)
 
     def place(self) -> Column:
         return ((F.col("j") * self.ld + F.col("i")) * self.batch + F.col("b") + self.off).cast("long")
@@ -116,12 +142,21 @@ class BandView:
         if self.ld < self.kl + self.ku + 1:
             raise ValueError("ld is shorter than the band")
 
-    def read(self, buf: DataFrame) -> DataFrame:
+    def _split(self) -> tuple[Column, Column, Column]:
         k = F.col("pos") - self.off
         j, r = _div(k, self.ld), F.pmod(k, F.lit(self.ld))
-        i = r + j - self.ku
-        rows = buf.where((k >= 0) & (r <= self.kl + self.ku) & (j < self.n) & (i >= 0) & (i < self.m))
-        return rows.select(i.cast("long").alias("i"), j.alias("j"), F.col("v").cast("double").alias("v"))
+        return (r + j - self.ku).cast("long"), j, r
+
+    def inside(self) -> Column:
+        i, j, r = self._split()
+        return (F.col("pos") >= self.off) & (r <= self.kl + self.ku) & (j < self.n) & (i >= 0) & (i < self.m)
+
+    def keys(self) -> list[Column]:
+        i, j, _ = self._split()
+        return [i.alias("i"), j.alias("j")]
+
+    def read(self, buf: DataFrame) -> DataFrame:
+        return _read(buf, self)
 
     def place(self) -> Column:
         return (F.col("i") - F.col("j") + self.ku + F.col("j") * self.ld + self.off).cast("long")
@@ -173,6 +208,27 @@ def write_back(buf: DataFrame, view, result: DataFrame) -> DataFrame:
     return buf.join(new, "pos", "left").select("pos", F.when(F.col("has"), F.col("new")).otherwise(F.col("v")).alias("v"))
 
 
+def project(buf: DataFrame, view, new: Column) -> DataFrame:
+    """The buffer with ``new``, of ``v``, in the view's places: a projection."""
+    return buf.select("pos", F.when(view.inside(), new).otherwise(F.col("v").cast("double")).alias("v"))
+
+
+def merge(buf: DataFrame, view, result: DataFrame, new: Callable[[Column, Column], Column], missing: bool = True) -> DataFrame:
+    """The buffer with ``new(old, result)`` in the view's places, by one join of buffer and result (keys and p).
+
+    Where the result has no row, its p is null, or (``missing`` false) the place stays as it was.  Equal elements of the buffer aren't
+    shuffled twice, as they are where a view is read, changed and written back.
+    """
+    inside, at = view.inside(), view.keys()
+    keys = ["b", "i", "j"][3 - len(at) :] if len(at) > 1 else ["i"]
+    # places outside of the view get negative keys, which meet nothing and, unlike nulls, spread over all partitions
+    placed = buf.select("pos", F.col("v").cast("double").alias("v"), inside.alias("in"), *[F.when(inside, x).otherwise(-1 - F.col("pos")) for x in at])
+    placed = placed.toDF("pos", "v", "in", *keys)
+    joined = placed.join(result.select(*keys, "p", F.lit(True).alias("has")), keys, "left")
+    changed = F.col("in") if missing else F.col("in") & F.col("has")
+    return joined.select("pos", F.when(changed, new(F.col("v"), F.col("p"))).otherwise(F.col("v")).alias("v"))
+
+
 # --- structure of matrices (i, j, v) ---
 
 

@@ -2,7 +2,8 @@
 
 Operands come from whole tables: E is the matrix of all embeddings, G = E^T E, S = G scaled to be unsymmetric, T = S with a dominant
 diagonal, U = S / 10 (for unit diagonals), X the column sums of E, Y the diagonal of G, XE a vector as long as E; O1 and O2 are vectors
-over orders, P over parts, Z over customers, B the embeddings as 8 x 8 matrices.
+over orders, P over parts, Z over customers, B the embeddings as 8 x 8 matrices; ZM has eight multiples of Z as columns, and L is a lower
+band, diagonally dominant, as large as there are customers.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from tessera import blas
 from tessera.functions.scalar import BINARY, UNARY
 from tessera.operators import extension, level1, level2, level3
 from tessera.plans import expr, views
-from tessera.sources import matrix_of_rows, parquet_vector, to_buffer
+from tessera.sources import collect_matrix, collect_vector, fill, matrix, matrix_of_rows, parquet_vector, to_buffer, vector
 
 N = 64
 KL, KU, K = 3, 2, 3
@@ -37,7 +38,8 @@ O1 AS (SELECT o_orderkey::BIGINT AS i, o_totalprice / 300007.0 AS v FROM orders)
 O2 AS (SELECT o_orderkey::BIGINT AS i, o_custkey / 1000.0 AS v FROM orders),
 P AS (SELECT p_partkey::BIGINT AS i, p_retailprice / 1000 AS v FROM part),
 Z AS (SELECT c_custkey::BIGINT AS i, c_acctbal AS v FROM customer),
-B AS (SELECT i AS b, j % 8 AS i, j // 8 AS j, v FROM E)"""
+B AS (SELECT i AS b, j % 8 AS i, j // 8 AS j, v FROM E),
+ZM AS (SELECT c_custkey::BIGINT AS i, c.range AS j, c_acctbal / 1003 * (c.range + 1) AS v FROM customer, range(8) c)"""
 
 
 class Operands:
@@ -83,6 +85,12 @@ class Operands:
             return self.vector("orders", "o_orderkey", F.col("o_custkey") / 1000.0)
         if name == "P":
             return self.vector("part", "p_partkey", F.col("p_retailprice") / 1000)
+        if name == "ZM":
+            return self.table("customer").select(F.col("c_custkey").cast("long").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("j"), "c_acctbal").select("i", "j", (F.col("c_acctbal") / 1003 * (F.col("j") + 1)).alias("v"))
+        if name == "L":
+            rows = self.table("customer").select(F.col("c_custkey").cast("long").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("d"), "c_nationkey")
+            element = F.when(F.col("d") == 0, 4 + F.col("c_nationkey") / 10).otherwise((F.col("c_nationkey") + 1) / (25 * (F.col("d") + 1)))
+            return rows.select("i", (F.col("i") - F.col("d")).alias("j"), element.alias("v")).where("j >= 0")
         if name == "Z":
             return self.vector("customer", "c_custkey", F.col("c_acctbal"))
         raise AttributeError(name)
@@ -250,6 +258,9 @@ add("gemm_tt", lambda o: level3.gemm("t", "t", A, o.S, o.T, BETA, o.G), _mm_upda
 add("gemm_tiles", lambda o: level3.gemm("t", "n", A, o.E, o.E, strategy="tiles", tile=48), f"SELECT i, j, {A} * v AS v FROM {_mm(_op('E', 't'), 'E')}")
 add("gemm_b0", lambda o: level3.gemm("n", "n", A, o.E, o.S), f"SELECT i, j, {A} * v AS v FROM {_mm('E', 'S')}")
 add("gemm_a0", lambda o: level3.gemm("n", "n", 0, o.E, o.S, BETA, o.E), f"SELECT i, j, {BETA} * v AS v FROM E")
+# long and thin, and wide: no key may hold all elements
+add("gemm_outer", lambda o: level3.gemm("n", "t", A, o.P.select("i", F.lit(0).cast("long").alias("j"), "v"), o.X.select("i", F.lit(0).cast("long").alias("j"), "v"), strategy="tiles", tile=64), f"SELECT a.i, b.i AS j, {A} * a.v * b.v AS v FROM P a, X b")
+add("gemm_wide", lambda o: level3.gemm("n", "t", A, o.E, o.E, strategy="tiles", tile=48), f"SELECT a.i, b.i AS j, {A} * sum(a.v * b.v) AS v FROM E a JOIN E b USING (j) GROUP BY a.i, b.i")
 add("gemm_complex", lambda o: level3.gemm_complex("c", "n", 2 - 1j, *[o.S.select("i", "j", F.struct("v", (F.col("v") / 2).alias("w")).alias("v")).select("i", "j", F.struct(F.col("v.v").alias("re"), F.col("v.w").alias("im")).alias("v"))] * 2).select("i", "j", F.col("v.re").alias("re"), F.col("v.im").alias("im")),
     "SELECT i, j, 2 * r + m AS re, 2 * m - r AS im FROM (SELECT a.j AS i, b.j, sum(1.25 * a.v * b.v) AS r, sum(0.0 * a.v * b.v) AS m FROM S a JOIN S b USING (i) GROUP BY a.j, b.j)", values="re im", digits=3)
 add("gram", lambda o: o.G, "SELECT i, j, v FROM G")
@@ -287,6 +298,16 @@ for _side in ("left", "right"):
                 _sql = _solve_sql(_triangle_sql(_m, _u, _tt, _unit), (_u == "l") == (_tt == "n"), _rhs)
                 add(f"trsm_{_side}_{_u}_{_t}" + ("_unit" if _unit else ""), lambda o, s=_side[0], u=_u, t=_t, d=_d, m=_m: level3.trsm(s, u, t, d, N, N, A, getattr(o, m), o.S), f"SELECT {'i, j' if _side == 'left' else 'j AS i, i AS j'}, v FROM ({_sql})", digits=5)
 
+
+def _blocked(o: Operands, x: DataFrame) -> DataFrame:
+    """L X = 1.5 (L X') has the solution 1.5 X'; more than 1024 customers are solved in blocks."""
+    n = o.table("customer").count()
+    return level3.trsm("l", "l", "n", "n", n, 8, A, o.L, level3.gemm("n", "n", 1.0, o.L, x, strategy="elements"))
+
+
+add("trsm_blocked", lambda o: _blocked(o, o.ZM), f"SELECT i, j, {A} * v AS v FROM ZM", digits=5)
+add("trsv_blocked", lambda o: level2.trsv("l", "t", "n", o.table("customer").count(), o.L, level2.gemv("t", 1.0, o.L, o.Z)), "SELECT i, v FROM Z", digits=5)
+
 # --- extensions ---
 
 add("axpy_batch", lambda o: extension.axpy_batch(A, o.E.select(F.col("i").alias("b"), F.col("j").alias("i"), "v"), o.E.select(F.col("i").alias("b"), F.col("j").alias("i"), (F.col("v") * 2).alias("v"))), f"SELECT i AS b, j AS i, {A} * v + 2 * v AS v FROM E")
@@ -331,3 +352,40 @@ add("scalar_functors", _functors, """
         a + b AS b_add, a * b AS b_product, CASE WHEN b = 0 THEN CASE WHEN a > 0 THEN 'inf'::DOUBLE WHEN a < 0 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END ELSE a / b END AS b_division,
         greatest(a, b) AS b_max, least(a, b) AS b_min, abs(a) + abs(b) AS b_absolute_add, sqrt(a * a + b * b) AS b_hypotenuse
     FROM (SELECT c_custkey AS i, c_acctbal / 1003 AS a, c_nationkey - 12.0::DOUBLE AS b FROM customer)""", values="absolute zero one identity sign negation sqrt double square b_add b_product b_max b_min b_absolute_add b_hypotenuse b_division", digits=6)
+
+# --- buffers that start inside of larger ones, and sources and sinks ---
+
+OFF = 5
+
+
+def _at(df: DataFrame, position: str | Column, off: int) -> DataFrame:
+    """The elements from place ``off`` on; what stands before must stay."""
+    position = F.expr(position) if isinstance(position, str) else position
+    before = df.sparkSession.range(off).select(F.col("id").alias("pos"), F.lit(-7.0).alias("v"))
+    return before.unionByName(to_buffer(df, position + off))
+
+
+def _kept(sql: str, off: int = OFF) -> str:
+    return f"SELECT pos + {off} AS pos, v FROM ({sql}) UNION ALL SELECT range, -7.0 FROM range({off})"
+
+
+_I, _IJ = "i", f"i + j * {N}"
+add("axpy_offset", lambda o: blas.axpy(o.table("orders").count(), A, _at(o.O1, _I, 3), 1, _at(o.O2, _I, OFF), 1, offx=3, offy=OFF), _kept(f"SELECT i AS pos, {A} * a.v + b.v AS v FROM O1 a JOIN O2 b USING (i)"))
+add("gemv_offset", lambda o: blas.gemv("n", N, N, A, _at(o.S, _IJ, 2), N, _at(o.X, _I, 3), 1, BETA, _at(o.Y, _I, OFF), 1, offa=2, offx=3, offy=OFF), _kept(f"SELECT i AS pos, v FROM ({_update(_mv('S'))})"))
+add("gbmv_offset", lambda o: blas.gbmv("n", N, N, KL, KU, A, _at(views.band(o.S, KL, KU), views.BandView(N, N, KL, KU, 8).place(), 2), 8, _at(o.X, _I, 3), 1, BETA, _at(o.Y, _I, OFF), 1, offa=2, offx=3, offy=OFF), _kept(f"SELECT i AS pos, v FROM ({_update(_mv('S', where=_BAND))})"))
+add("spmv_offset", lambda o: blas.spmv("u", N, A, _at(views.triangle(o.T, "u"), views.PackedView(N, "u").place(), 2), _at(o.X, _I, 3), 1, BETA, _at(o.Y, _I, OFF), 1, offa=2, offx=3, offy=OFF), _kept(f"SELECT i AS pos, v FROM ({_update(_mv(_SYMMETRIC['u']))})"))
+add("gemm_offset", lambda o: blas.gemm("n", "t", N, N, N, A, _at(o.S, _IJ, 2), N, _at(o.T, _IJ, 3), N, BETA, _at(o.G, _IJ, OFF), N, offa=2, offb=3, offc=OFF), _kept(f"SELECT i + j * {N} AS pos, v FROM ({_mm_update(_mm('S', _op('T', 't')))})"), digits=3)
+
+
+def _offset_batch(o: Operands, interleaved: bool) -> DataFrame:
+    n = o.table("embeddings").count()
+    place = (F.col("j") * 8 + F.col("i")) * n + F.col("b") if interleaved else F.col("b") * 64 + F.col("j") * 8 + F.col("i")
+    a, b, c = (_at(o.B, place, off) for off in (2, 3, OFF))
+    return blas.gemm_batched("n", "n", 8, 8, 8, A, a, 8, b, 8, BETA, c, 8, n, "interleaved" if interleaved else "strided", offa=2, offb=3, offc=OFF)
+
+
+for _kind, _place in (("interleaved", "(j * 8 + i) * (SELECT count(*) FROM embeddings) + b"), ("strided", "b * 64 + j * 8 + i")):
+    add(f"gemm_{_kind}_offset", lambda o, k=_kind: _offset_batch(o, k == "interleaved"), _kept(f"SELECT {_place} AS pos, v FROM ({_mm_update(_mm('B', 'B', 'a.b'), 'B', 'b, i, j', 'c.b, ')})"))
+add("fill", lambda o: fill(o.spark, o.table("part").count(), 2.5), "SELECT p_partkey::BIGINT AS pos, 2.5::DOUBLE AS v FROM part")
+add("host_round_trip", lambda o: vector(o.spark, collect_vector(o.P, o.table("part").count())), "SELECT i, v FROM P")
+add("host_round_trip_matrix", lambda o: matrix(o.spark, collect_matrix(o.G, N, N)), "SELECT i, j, v FROM G")

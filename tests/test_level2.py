@@ -3,7 +3,7 @@ import pytest
 
 from tessera import blas
 from tessera.operators import level2
-from tessera.sources import buffer, matrix, vector
+from tessera.sources import buffer, collect_vector, matrix, vector
 from tests.reference import band_of, banded, flat, op, packed, place, poison, random, same, strided, sym, taken, tri
 
 M, N = 7, 9
@@ -70,6 +70,29 @@ def test_triangular(spark, uplo, trans, diag):
     same(taken(blas.tpsv(uplo, trans, diag, N, p, dx, inc), size), updated(x, inc, np.linalg.solve(t, x)))
 
 
+@pytest.mark.parametrize("uplo", "ul")
+@pytest.mark.parametrize("trans", "nt")
+@pytest.mark.parametrize("diag", "nu")
+def test_solves_of_one_table(spark, uplo, trans, diag):
+    """A and b share their lineage."""
+    a = random(N, N) / 8
+    np.fill_diagonal(a, 5.0)
+    table = matrix(spark, a)
+    b, t, k = table.where("j = 2").select("i", "v"), op(tri(a, uplo, diag), trans), 3
+    tb = op(band_of(tri(a, uplo, diag), k, k), trans)
+    for block in (1024, 4):
+        for got, want in ((level2.trsv(uplo, trans, diag, N, table, b, block), t), (level2.tpsv(uplo, trans, diag, N, table, b, block), t), (level2.tbsv(uplo, trans, diag, N, k, table, b, block), tb)):
+            same(collect_vector(got, N), np.linalg.solve(want, a[:, 2]))
+
+
+def test_rows_out_of_the_band_are_scaled(spark):
+    m, n = 9, 3
+    a, x, y = random(m, n), random(n), random(m)
+    for beta in (0, 0.5):
+        got = taken(blas.gbmv("n", m, n, 1, 1, 1.5, buffer(spark, banded(a, 1, 1, 3)), 3, buffer(spark, x), 1, beta, buffer(spark, y), 1), m)
+        same(got, 1.5 * band_of(a, 1, 1) @ x + beta * y)
+
+
 def test_rank_updates(spark):
     a, x, y = random(M, N), random(M), random(N)
     got = taken(blas.ger(M, N, 1.5, buffer(spark, strided(x, 2)), 2, buffer(spark, strided(y, -3)), -3, buffer(spark, flat(a, 10)), 10), len(flat(a, 10)))

@@ -95,6 +95,44 @@ def test_trsm_many_columns_in_blocks(spark):
         level3.trsm("x", "u", "n", "n", 3, 3, 1, matrix(spark, a), matrix(spark, b))
 
 
+@pytest.mark.parametrize("side", "lr")
+@pytest.mark.parametrize("uplo", "ul")
+@pytest.mark.parametrize("trans", "nt")
+@pytest.mark.parametrize("diag", "nu")
+def test_trsm_of_one_table(spark, side, uplo, trans, diag):
+    """A and B share their lineage."""
+    a = random(M, M) / 8
+    np.fill_diagonal(a, 4.0)
+    table = matrix(spark, a)
+    t = op(tri(a, uplo, diag), trans)
+    want = np.linalg.solve(t, a) if side == "l" else np.linalg.solve(t.T, a.T).T
+    for block in (1024, 4):
+        same(collect_matrix(level3.trsm(side, uplo, trans, diag, M, M, 1, table, table, block), M, M), want)
+
+
+def test_trsm_by_zero_reads_nothing(spark):
+    a, b = np.full((3, 3), np.nan), np.full((3, 2), np.inf)
+    same(collect_matrix(level3.trsm("l", "u", "n", "n", 3, 2, 0, matrix(spark, a), matrix(spark, b)), 3, 2), np.zeros((3, 2)))
+    assert (collect_matrix(level3.trsm("l", "u", "n", "n", 3, 2, 0, matrix(spark, a), matrix(spark, b)), 3, 2) == 0).all()
+
+
+@pytest.mark.parametrize("m,n,k", [(90, 70, 1), (3, 5, 260), (41, 3, 9), (1, 1, 1)])
+def test_grid_of_tiles(spark, m, n, k):
+    a, b = random(m, k), random(k, n)
+    for size in (None, (m, n, k)):
+        same(collect_matrix(level3.gemm("n", "n", 1, matrix(spark, a), matrix(spark, b), strategy="tiles", tile=8, size=size), m, n), a @ b)
+
+
+def test_offsets(spark):
+    a, b, c = random(M, K), random(K, N), random(M, N)
+    at = lambda x, off: np.concatenate((np.full(off, -5.0), flat(x, len(x))))
+    got = taken(blas.gemm("n", "n", M, N, K, 1.5, buffer(spark, at(a, 3)), M, buffer(spark, at(b, 4)), K, 0.5, buffer(spark, at(c, 2)), M, offa=3, offb=4, offc=2), len(at(c, 2)))
+    same(got, at(1.5 * a @ b + 0.5 * c, 2))
+    t, y = np.triu(random(M, M)) + 9 * np.eye(M), random(M, N)
+    same(taken(blas.trsm("l", "u", "n", "n", M, N, 1, buffer(spark, at(t, 3)), M, buffer(spark, at(y, 2)), M, offa=3, offb=2), len(at(y, 2))), at(np.linalg.solve(t, y), 2))
+    same(taken(blas.omatcopy("t", M, K, 2, buffer(spark, at(a, 1)), M, buffer(spark, at(np.zeros((K, M)), 6)), K, offa=1, offb=6), len(at(a.T, 6))), at(2 * a.T, 6))
+
+
 def test_complex(spark):
     a, b = random(3, 4) + 1j * random(3, 4), random(3, 5) + 1j * random(3, 5)
     c = random(4, 5) + 1j * random(4, 5)

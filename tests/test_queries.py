@@ -5,8 +5,6 @@ import __spark_entry__
 from tessera import queries
 
 SF = "/root/testdata/sf0.001"
-SOME = ["axpy_inc", "iamax_tie", "rotg", "rotmg", "gemv_ld", "gbmv_buffer", "spmv_l", "spr2_u", "tbmv_ut_unit", "trsv_ut", "tpsv_ln_unit", "gemm_tiles", "gemm_complex", "gemm_shared_operand", "gemm_batched_interleaved", "symm_right_u", "trsm_right_l_t", "omatcopy2", "omatadd_batch", "reduction_product_inner", "expr_collapse_tuple", "scalar_functors"]
-
 
 @pytest.fixture(scope="module")
 def sql():
@@ -16,7 +14,7 @@ def sql():
     return con
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", queries.ORACLES)
 def test_query_equals_sql(spark, sql, name):
     got = queries.QUERIES[name](spark, SF)
     want = sql.execute(queries.ORACLES[name])
