@@ -1,9 +1,7 @@
-"""What the pipeline operators share: sessions, shared folders, Arrow helpers, word hashing."""
+"""What the pipeline operators share: shared folders, names of helper columns, Arrow helpers, word hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,38 +9,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Rows in an Arrow batch handed to Python.  Whole texts pass through, so batches stay small.
-BATCH_ROWS = 1024
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests, a laptop) one is made: in a temporary folder in local mode, else under the warehouse.
-    """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        local = (sc.master or "").startswith("local[") or sc.master == "local"
-        base = f"file://{tempfile.mkdtemp(prefix='tessera-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(base)
-    return base
+from tessera.plans.strategy import cut, fresh_dir, shared_dir
 
+__all__ = ["BLANKS", "SYMBOLS", "RunHashes", "cut", "free_names", "fresh_dir", "map_arrow", "shared_dir", "strings", "strip_nulls", "wider"]
 
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: Rows in an Arrow batch handed to Python.  Whole texts pass through, so batches stay small.
+BATCH_ROWS = 1024
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Eager checkpoint into the shared folder: later reads survive the loss of an executor and of its shuffle files."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(True)
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the DataFrame hasn't got, in any case: the given ones, with underscores where they are taken."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of whole texts by rows, and by bytes where this Spark can."""
+    """Bound the Arrow batches of whole texts by rows, and by bytes where this Spark can.
+
+    The settings are read when a query runs, so they stay in the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
