@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.plans.strategy import cut, fresh_dir, shared_dir
 
-__all__ = ["BLANKS", "SYMBOLS", "RunHashes", "cut", "free_names", "fresh_dir", "map_arrow", "shared_dir", "strings", "strip_nulls", "wider"]
+__all__ = ["BLANKS", "SYMBOLS", "RunHashes", "cut", "few", "free_names", "fresh_dir", "map_arrow", "shared_dir", "strings", "strip_nulls", "wider"]
 
 #: Rows in an Arrow batch handed to Python.  Whole texts pass through, so batches stay small.
 BATCH_ROWS = 1024
@@ -28,6 +29,15 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Narrow rows (some numbers and a hash each) that may be sent to every task.
+BROADCAST_ROWS = 1 << 18
+
+
+def few(rows: DataFrame, most: int | None = None) -> DataFrame | None:
+    """The rows, to be broadcast, where a count shows that they are few enough; else None."""
+    return F.broadcast(rows) if rows.count() <= (BROADCAST_ROWS if most is None else most) else None
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of whole texts by rows, and by bytes where this Spark can.
 

@@ -93,6 +93,14 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(length(r) + length(t) + 17)::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id""",
+    # SHA-1 in base32: every five hexadecimal digits are four of its letters
+    "op7_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        d AS (SELECT *, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS keeper FROM p),
+        r AS (SELECT *, keeper IS NOT NULL AND page_id IS DISTINCT FROM keeper AS revisit FROM d)
+        SELECT page_id::BIGINT AS page_id, octet_length(payload)::BIGINT AS payload_bytes,
+               list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, (1 + 5 * (k // 4))::BIGINT, 5))::BIGINT >> (15 - 5 * (k % 4))::BIGINT) & 31), 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN revisit THEN keeper END::BIGINT AS refers_to FROM r""",
     "op9_exact_dedup": f"""
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{_A}', '{_Z}') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM n GROUP BY t)

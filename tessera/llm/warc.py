@@ -1,11 +1,14 @@
 """Web archives in ZIP packages: writing WARC records, and reading them back by ranges without extraction.
 
-Writing: payloads are digested, the response of every group of equal payloads is found by a combining aggregate, and each task
-streams its records into packages of about ``PACKAGE`` bytes: a stored member of gzip members (one per record), a stored index
-of (offset, length) and a small description.  The manifest of finished packages is checkpointed; a task that runs again writes
-new files, and only files in the manifest count.
+Writing: payloads are digested by built-in functions, the response of every group of equal payloads is found by a combining aggregate, and
+each task streams its records into packages of about ``PACKAGE`` bytes: a stored member of gzip members (one per record), a stored index
+of (offset, length, member) and a small description.  Payloads are equal when SHA-1 and SHA-256 both are, as collisions of SHA-1 alone
+are public.  Payloads move only where the groups of two and more are too many to be sent to every task.  The manifest of finished packages is
+checkpointed; a task that runs again writes new files, and only files in the manifest count.
 
-Reading: each package's central directory (ZIP64 too) is parsed, the index located, and every record read by its own range.
+Reading: each package's central directory (ZIP64 too) is parsed; stored members below ``archive/`` hold the records, those below
+``indexes/`` tell where.  Every record that an index knows is read by its own range; an archive member that none knows is scanned, gzip member
+after gzip member.  Packages are dealt to as many tasks as there are packages.
 
 Defined results: a null html is the empty payload, a null url gives no target; of equal payloads the largest page_id is the
 response (rows that repeat that id are all responses), null ids are the smallest; extra columns are ignored; an empty table
@@ -27,10 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, fresh_dir, map_arrow, strip_nulls
-from tessera.llm.zip_archive import Archive, filesystem
+from tessera.llm.common import cut, few, fresh_dir, map_arrow
+from tessera.llm.zip_archive import Archive, Member, filesystem
 
 PACKAGE, LEVEL, DATE = 64 << 20, 1, "2000-01-01T00:00:00Z"
+#: Bytes that a scan reads at once, and tasks that read packages at most.
+PIECE, READERS = 1 << 20, 8192
 DATA, INDEX, ABOUT = "archive/data.warc.gz", "indexes/index.cdx", "datapackage.json"
 MANIFEST = "path string, records long, bytes long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -98,7 +103,7 @@ class _Package:
         packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
         packed = packer.compress(raw) + packer.flush()
         self.data.write(packed)
-        self.index.append(f"{self.at} {len(packed)}\n")
+        self.index.append(f"{self.at} {len(packed)} {DATA}\n")
         self.at += len(packed)
 
     def close(self) -> tuple[str, int, int]:
@@ -112,16 +117,12 @@ class _Package:
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, package: int = PACKAGE) -> DataFrame:
     """Writes all rows below ``folder``; the manifest, in the columns of ``MANIFEST``."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").alias("html"))
-
-    def digests(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
-            payloads = strip_nulls(b.column(2))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_sha1(x) for x in payloads], pa.string()), pa.array([len(x) for x in payloads], pa.int64())], ["page_id", "url", "html", "digest", "size"])
-
-    digested = map_arrow(rows, digests, "page_id long, url string, html string, digest string, size long")
-    groups = digested.groupBy(F.col("digest").alias("of")).agg(F.max("page_id").alias("keeper"))
-    joined = digested.join(groups, F.col("digest") == F.col("of"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
+    rows = rows.select("*", F.sha1("html").alias("digest"), F.octet_length("html").alias("size"), F.sha2("html", 256).alias("of"))
+    groups = rows.groupBy("digest", "of").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
+    shared = cut(groups.select(F.col("digest").alias("other"), F.col("of").alias("other_of"), "keeper"))
+    listed = few(shared)
+    joined = rows.join(shared if listed is None else listed, (F.col("digest") == F.col("other")) & (F.col("of") == F.col("other_of")), "left")
     refers = F.when((F.col("size") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +132,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, package: i
         for b in parts:
             for page_id, url, html, digest, refers_to in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 now = now or _Package(folder, task, len(done))
-                now.add(record(page_id, url, (html or "").encode(), digest, refers_to))
+                now.add(record(page_id, url, html.encode(), base64.b32encode(bytes.fromhex(digest)).decode(), refers_to))
                 if now.at >= package:
                     done.append(now.close())
                     now = None
@@ -142,6 +143,40 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, package: i
     return cut(map_arrow(joined.select("page_id", "url", "html", "digest", refers.alias("refers_to")), write, MANIFEST))
 
 
+def scanned(archive: Archive, member: Member) -> Iterator[bytes]:
+    """The records of a stored member without an index: its gzip members in order."""
+    start, at, unpack, parts = archive.start(member), 0, zlib.decompressobj(31), []
+    while at < member.size:
+        piece = archive.range(member, at, min(PIECE, member.size - at), start)
+        at += len(piece)
+        while piece:
+            parts.append(unpack.decompress(piece))
+            piece = unpack.unused_data
+            if unpack.eof:
+                yield b"".join(parts)
+                unpack, parts = zlib.decompressobj(31), []
+    if parts and any(parts):
+        raise ValueError(f"{member.name} ends within a record")
+
+
+def raw_records(archive: Archive) -> Iterator[bytes]:
+    """Every record of a package, those that an index knows by their ranges."""
+    stored = [m for name, m in archive.members.items() if name.startswith("archive/") and not name.endswith("/")]
+    known: dict[str, list[tuple[int, int]]] = {}
+    for name in archive.members:
+        if name.startswith("indexes/") and name.endswith(".cdx"):
+            for line in archive.read(name).decode().split("\n")[:-1]:
+                offset, length, of = line.split(" ", 2)
+                known.setdefault(of, []).append((int(offset), int(length)))
+    for member in stored:
+        if member.name in known:
+            start = archive.start(member)
+            for offset, length in known[member.name]:
+                yield zlib.decompress(archive.range(member, offset, length, start), 31)
+        else:
+            yield from scanned(archive, member)
+
+
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of all packages, in the columns of ``RECORDS``; without ``payloads`` that column is null."""
 
@@ -150,17 +185,18 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
             for path in b.column(0).to_pylist():
                 store, inner = filesystem(path)
                 with store.open_input_file(inner) as handle:
-                    archive = Archive(handle, handle.size())
-                    data, index = archive.members[DATA], archive.read(INDEX).decode().split("\n")[:-1]
-                    start, out = archive.start(data), []
-                    for k, line in enumerate(index):
-                        offset, length = map(int, line.split(" "))
-                        out.append(parse_record(zlib.decompress(archive.range(data, offset, length, start), 31)))
-                        if len(out) >= 512 or k == len(index) - 1:
+                    out, size = [], 0
+                    for raw in raw_records(Archive(handle, handle.size())):
+                        out.append(parse_record(raw))
+                        size += len(raw)
+                        if len(out) >= 512 or size >= PACKAGE // 4:
                             yield _records_batch(out, payloads)
-                            out = []
+                            out, size = [], 0
+                    if out:
+                        yield _records_batch(out, payloads)
 
-    return map_arrow(manifest.select("path").repartition("path"), read, RECORDS)
+    tasks = max(1, min(READERS, manifest.count()))  # a number that is given isn't merged by adaptive execution
+    return map_arrow(manifest.select("path").repartition(tasks), read, RECORDS)
 
 
 def _records_batch(out: list[tuple], payloads: bool) -> pa.RecordBatch:

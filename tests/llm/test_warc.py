@@ -6,7 +6,7 @@ import zipfile
 
 import pytest
 
-from tessera.llm import warc
+from tessera.llm import common, warc
 from tessera.llm.zip_archive import Archive
 
 
@@ -32,7 +32,9 @@ def brute(rows, least=0):
     return sorted(map(repr, out))
 
 
-def test_round_trip(spark):
+@pytest.mark.parametrize("most", [1 << 18, 0])
+def test_round_trip(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
     for least in (0, 8, 1000):
         got = warc.round_trip(table(spark), least).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
         assert sorted(repr(tuple(r)) for r in got) == brute(ROWS, least)
@@ -49,7 +51,33 @@ def test_payloads_come_back_from_small_packages(spark, tmp_path):
     with zipfile.ZipFile(path) as z:  # a standard reader agrees, and each record is a gzip member of its own
         assert z.testzip() is None and z.getinfo(warc.DATA).compress_type == zipfile.ZIP_STORED
         data, index = z.read(warc.DATA), z.read(warc.INDEX).decode().split("\n")[:-1]
-        assert all(gzip.decompress(data[int(a) : int(a) + int(n)]).startswith(b"WARC/1.1") for a, n in (x.split() for x in index))
+        assert all(gzip.decompress(data[int(a) : int(a) + int(n)]).startswith(b"WARC/1.1") for a, n, _ in (x.split() for x in index))
+
+
+def test_packages_are_read_by_many_tasks(spark, tmp_path):
+    manifest = warc.write_archives(table(spark), f"file://{tmp_path}/w", package=100)
+    assert warc.read_archives(manifest).rdd.getNumPartitions() == manifest.count() > 3
+
+
+def test_archives_of_other_names_are_read_whole(spark, tmp_path):
+    """Two archive members, one of them unknown to the index, whose records lie across the pieces of a scan."""
+    raw = [warc.record(k, "u", b"%d" % k + b"payload" * 300, warc._sha1(b"%d" % k + b"payload" * 300), None) for k in range(9)]
+    packed = [gzip.compress(x) for x in raw]
+    path = f"{tmp_path}/other.wacz"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("archive/one.warc.gz", b"".join(packed[:4]))
+        z.writestr("archive/two.warc.gz", b"".join(packed[4:]))
+        z.writestr("indexes/x.cdx", "".join(f"{sum(map(len, packed[:k]))} {len(packed[k])} archive/one.warc.gz\n" for k in range(4)))
+        z.writestr("notes.txt", b"nothing")
+    manifest = spark.createDataFrame([(f"file://{path}", 9, 0)], warc.MANIFEST)
+    assert sorted(r.page_id for r in warc.read_archives(manifest).collect()) == list(range(9))
+    with open(path, "rb") as f:
+        a = Archive(f, len(open(path, "rb").read()))
+        before, warc.PIECE = warc.PIECE, 10
+        try:
+            assert list(warc.scanned(a, a.members["archive/two.warc.gz"])) == raw[4:]
+        finally:
+            warc.PIECE = before
 
 
 def archive(build, comment=b""):
