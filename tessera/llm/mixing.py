@@ -1,6 +1,6 @@
 """Mixing to target weights with soft membership.
 
-A classifier fitted on the labelled table gives every document posteriors over the domains ``clean``, ``low`` (poor quality) and
+A classifier fitted on labelled documents gives every document posteriors over the domains ``clean``, ``low`` (poor quality) and
 ``toxic``.  Nonnegative document rates r then minimise the squared, share-weighted distance between the expected domain token
 totals sum_i tokens_i * p_ik * r_i and the targets, by projected gradient steps from r = 1: each step is one distributed
 aggregate of a number per domain, and a document's rate follows from its own posteriors and the short history of residuals, so
@@ -13,7 +13,8 @@ whole part, and one more by a hash of the row in proportion to the fraction, so
 Defined results: a null or empty text has no tokens and the posteriors of the biases, and only the plain steps change its rate; no labels: all are
 ``clean`` and have rate 1; targets that rates can't meet, or only by turning most documents away for a few, leave the rates of the plain steps and are
 warned of; rows are judged one by one, repeated rows and extra columns too
-(equal rows with equal ids draw alike); an empty table gives an empty result.
+(equal rows with equal ids draw alike); labels that repeat an id count as the largest of each column, labels without a document are ignored;
+columns of any names are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,13 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, map_arrow, strings, wider
+from tessera.llm.common import fresh_dir, map_arrow, strings, wider
 from tessera.llm.ngram_model import Featurizer, fit_ftrl
 from tessera.llm.quality import MAX_CHARS, MAX_ROWS, labelled_sample
 
 DOMAINS = ("clean", "low", "toxic")
 WEIGHTS = (0.98, 0.015, 0.005)
 BITS, STEPS, TOLERANCE = 20, 20, 1e-3
+#: Of the domain models: chosen by the log-likelihood of labelled documents that were held out.  Posteriors that stay near the shares of
+#: the labels give every document a part in every domain, and small targets are then met only by turning clean documents away.
+L1, EPOCHS = 5.0, 12
 #: Most scaled steps, and the share of a target that a unit of the closing move may miss it by, which tells targets that are out of reach.
 CLOSING, RIDGE = 40, 1e-5
 
@@ -58,7 +62,7 @@ def fit_domains(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROW
     x = Featurizer(BITS, "presence", pairs=False).transform([r[0] for r in rows])
     kind = np.array([2 if r[2] else 0 if r[1] else 1 for r in rows], int)
     del rows
-    models = [fit_ftrl(x, (kind == k).astype(float), BITS, alpha=0.5, l1=10.0) for k in range(len(DOMAINS))]
+    models = [fit_ftrl(x, (kind == k).astype(float), BITS, alpha=0.5, l1=L1, epochs=EPOCHS) for k in range(len(DOMAINS))]
     return DomainModel([m.weights for m in models], [m.bias for m in models])
 
 
@@ -66,7 +70,7 @@ _P = [f"_mix_p{k}" for k in range(len(DOMAINS))]
 
 
 def with_posteriors(documents: DataFrame, model: DomainModel) -> DataFrame:
-    """The rows with their columns and ``_mix_tokens``, ``_mix_p0``, ..."""
+    """The rows with their columns, which must not have these names, and ``_mix_tokens``, ``_mix_p0``, ..."""
     held, at = documents.sparkSession.sparkContext.broadcast(model), documents.columns.index("text")  # its size is fixed by BITS
 
     def f(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,9 +198,16 @@ def _copies(rate: Column, doc_id: Column) -> Column:
     return (low + (drawn < rate - low).cast("int")).cast("int")
 
 
+def _scored(documents: DataFrame, model: DomainModel, keep_text: bool) -> DataFrame:
+    """The rows scored once, as a table in the shared folder, of whose columns the passes over all rows read only what they need."""
+    path, scored = fresh_dir(documents.sparkSession, "mixing"), with_posteriors(documents, model)
+    (scored if keep_text else scored.drop("text")).write.parquet(path)
+    return documents.sparkSession.read.parquet(path)
+
+
 def rates(documents: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """doc_id, domain, tokens, p_clean, p_low, p_toxic, rate, copies of every row."""
-    scored = cut(with_posteriors(documents.select(F.col("doc_id").cast("long"), "text"), fit_domains(documents, labels)).drop("text"))
+    scored = _scored(documents.select(F.col("doc_id").cast("long"), "text"), fit_domains(documents, labels), False)
     rate = close_rates(scored, fit_rates(scored, weights)).column()
     best = F.greatest(*_P)
     domain = F.coalesce(*[F.when(F.col(c) == best, F.lit(n)) for c, n in zip(_P, DOMAINS, strict=True)])
@@ -205,8 +216,10 @@ def rates(documents: DataFrame, labels: DataFrame, weights: tuple[float, ...] =
 
 def mix(documents: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """The rows, with all their columns, each as many times as its rate says."""
-    model = fit_domains(documents, labels)
-    scored = cut(with_posteriors(documents.select(F.col("doc_id").cast("long"), "text"), model).drop("text"))
+    names = documents.columns
+    inner = [c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(names)]  # so that no column's name can clash
+    scored = _scored(documents.toDF(*inner), fit_domains(documents, labels), True)
     rate = close_rates(scored, fit_rates(scored, weights)).column()
-    rows = with_posteriors(documents, model).withColumn("_mix_copies", _copies(rate, F.col("doc_id").cast("long")))
-    return rows.withColumn("_mix_copy", F.explode(F.when(F.col("_mix_copies") > 0, F.sequence(F.lit(1), F.col("_mix_copies"))))).select(*documents.columns)
+    copies = _copies(rate, F.col("doc_id").cast("long"))
+    rows = scored.withColumn("_mix_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))))
+    return rows.select(*inner).toDF(*names)

@@ -30,30 +30,29 @@ def held_out(doc_id) -> F.Column:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, columns: list[str], max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> list[tuple]:
-    """(text, label, ...) of labelled rows that aren't held out, in the order of a hash of their ids.
+    """(text, label, ...) of documents with labels that aren't held out, in the order of a hash of their ids.
 
-    At most ``max_rows`` rows and ``max_chars`` characters: what the driver gathers is bounded.  A text that doesn't fit into what is left
-    of the characters is passed over.
+    At most ``max_rows`` rows and ``max_chars`` characters: what the driver gathers is bounded.  Labels without a document take no place.  A
+    text that doesn't fit into what is left of the characters is passed over.  Labels that repeat an id count as the largest of each
+    column, and of documents that repeat it the largest text is taken.
     """
     spark = documents.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     for c in columns:
         known = known.where(F.col(c).isNotNull())
     known = known.groupBy("doc_id").agg(*[F.max(c).cast("int").alias(c) for c in columns])
-    known = known.withColumn("at", F.xxhash64("doc_id")).orderBy("at", "doc_id").limit(max_rows)
     texts = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    # known holds max_rows narrow rows at most, so it may be broadcast
-    sizes = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "at").agg(F.max(F.length("text")).alias("n")).orderBy("at", "doc_id").limit(max_rows).collect()
+    sizes = texts.groupBy("doc_id").agg(F.max(F.length("text")).alias("n")).join(known, "doc_id")
     chosen, total = [], 0
-    for r in sizes:
-        if total + r["n"] > max_chars:
-            continue
-        total += r["n"]
-        chosen.append((r["doc_id"],))
+    for r in sizes.withColumn("at", F.xxhash64("doc_id")).orderBy("at", "doc_id").limit(max_rows).select("at", "doc_id", "n", *columns).collect():
+        if total + r["n"] <= max_chars:
+            total += r["n"]
+            chosen.append((r["at"], r["doc_id"], *(r[c] for c in columns)))
     if not chosen:
         return []
-    ids = spark.createDataFrame(chosen, "doc_id long")
-    rows = texts.join(F.broadcast(known.join(F.broadcast(ids), "doc_id")), "doc_id").groupBy("doc_id", "at", *columns).agg(F.max("text").alias("text")).toArrow()
+    schema = f"at long, doc_id long, {', '.join(f'{c} int' for c in columns)}"
+    # max_rows narrow rows at most, so they may be broadcast
+    rows = texts.join(F.broadcast(spark.createDataFrame(chosen, schema)), "doc_id").groupBy("doc_id", "at", *columns).agg(F.max("text").alias("text")).toArrow()
     out = sorted(zip(*(rows.column(c).to_pylist() for c in ("at", "doc_id", "text", *columns)), strict=True))
     del rows
     pa.default_memory_pool().release_unused()

@@ -147,7 +147,7 @@ def test_mixing_odd_tables(spark, tables):
 
 
 def test_emitted_copies_meet_the_target_of_each_domain(spark):
-    rows, labels = corpus(6000, 5)
+    rows, labels = corpus(9000, 5)
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got = mixing.rates(docs, labels).collect()
     p, tok = np.array([[r.p_clean, r.p_low, r.p_toxic] for r in got]), np.array([r.tokens for r in got], float)
@@ -173,3 +173,39 @@ def test_a_text_beyond_the_bound_is_passed_over(spark, tables):
     huge = docs.withColumn("text", F.when(F.col("text") == first, F.repeat(F.lit("word "), 100_000)).otherwise(F.col("text")))
     some = quality.labelled_sample(huge, labels, ["quality"], max_rows=50, max_chars=100_000)
     assert len(some) == 49 and sum(len(t) for t, _ in some) <= 100_000
+
+
+def test_labels_without_documents_take_no_place(spark):
+    docs = spark.createDataFrame([(k * 1000, f"text {k}") for k in range(300)], "doc_id long, text string")
+    labels = spark.range(300_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    rows = quality.labelled_sample(docs, labels, ["quality"])
+    assert len(rows) == sum(zlib.crc32(str(k * 1000).encode()) % 5 != 0 for k in range(300)) > 200
+    assert len(quality.labelled_sample(docs, labels, ["quality"], max_rows=100)) == 100
+
+
+def test_labels_that_repeat_an_id_count_as_the_largest(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (1, None), (2, 0)], "doc_id long, quality int")
+    want = [("b", 1), ("c", 0)]
+    assert sorted(quality.labelled_sample(docs, labels, ["quality"])) == [w for w, i in zip(want, (1, 2), strict=True) if zlib.crc32(str(i).encode()) % 5]
+
+
+def test_mix_keeps_columns_of_any_name(spark, tables):
+    docs, labels, _, _ = tables
+    odd = docs.withColumns({"_mix_tokens": F.lit("t"), "_mix_p0": F.lit(1), "c0": F.lit(2), "_mix_copy": F.lit("y")})
+    mixed = mixing.mix(odd, labels)
+    assert mixed.columns == odd.columns
+    assert {tuple(r) for r in mixed.select("_mix_tokens", "_mix_p0", "c0", "_mix_copy").collect()} == {("t", 1, 2, "y")}
+    assert mixed.count() == mixing.mix(docs, labels).count()
+
+
+def test_the_documents_table_meets_its_targets(spark):
+    """Expected tokens within a thousandth of the budget, emitted ones within the error of drawing."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = mixing.rates(docs, labels).collect()
+    p, tok = np.array([[r.p_clean, r.p_low, r.p_toxic] for r in got]), np.array([r.tokens for r in got], float)
+    target = tok @ p[:, 0] / mixing.WEIGHTS[0] * np.array(mixing.WEIGHTS)
+    rate, copies = np.array([r.rate for r in got]), np.array([r.copies for r in got])
+    assert (abs((tok * rate) @ p - target) <= 1e-3 * target.sum()).all() and (abs((tok * rate) @ p - target) <= 2e-3 * target).all()
+    part = rate - np.floor(rate)
+    assert (abs((tok * copies) @ p - target) <= 1e-3 * target.sum() + 4 * np.sqrt((part * (1 - part) * tok**2) @ p**2)).all()
