@@ -1,14 +1,20 @@
 """Secret scans: fixed patterns, and a randomness test battery for strings that no pattern names.
 
 Candidates of the battery are runs of token characters that mix at least two kinds (lower, upper, digit).  Their encoding is
-inferred (hex, base32, base62, base64 or base64url); three tests ask whether the characters could be uniform draws from
-it: chi-squared over the alphabet, Wald-Wolfowitz runs above and below the alphabet's middle, and serial correlation.  Fisher's
-method combines their p-values; a run that is rejected is text, not a key.  Short runs pass such tests easily, so a run must
-also earn evidence: the likelihood ratio of uniform draws against ordinary text (letter frequencies), an e-value whose logarithm
-grows with length.  The e-Benjamini-Hochberg rule over a document's candidates controls the false-discovery rate at ``FDR``.
+inferred (hex, base32, base36, base62, base64, base64url or, for runs that mix the signs of both, all of them); three tests ask whether the
+characters could be uniform draws from it: chi-squared over the alphabet, Wald-Wolfowitz runs above and below the alphabet's middle, and
+serial correlation.  Fisher's method combines their p-values; a run that is rejected is text, not a key.  Short runs pass such tests
+easily, so a run must also earn evidence: the likelihood ratio of uniform draws against ordinary text (letter frequencies), an e-value whose
+logarithm grows with length.  Runs of fewer than ``SHORTEST`` characters aren't candidates: the three tests have too little power on them to tell a
+key from a name with a digit in it.
+
+The e-Benjamini-Hochberg rule controls the false-discovery rate at ``FDR`` over all candidates of the table: candidates are counted by their
+evidence in steps of ``STEP`` (rounded down), a histogram of a bounded size, and the k that have the most are discoveries where the k-th
+e-value is m / (k * FDR) or more.  ``scan`` does the same over the candidates of one text.
 
 Defined results: a null or empty text has no spans; rows are scanned one by one, whole, so ties, repeated rows, null ids
-and extra columns change nothing; an empty table gives an empty result.
+and extra columns change nothing; spans of other kinds keep candidates that overlap them from being tested; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, strings
+from tessera.llm.common import cut, map_arrow, strings
 
 #: Kinds in the order in which they are listed.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
@@ -31,9 +37,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # what is left of the matches of [0-9a-f]+ when the short ones are dropped
 KINDS = ("assign", "access", "hex", "random")
 FDR, UNIFORM_P = 0.01, 0.001
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
+#: Characters of a candidate at least, steps of evidence, and where its histogram ends.
+SHORTEST, STEP, MOST = 16, 0.1, 100.0
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
+_CANDIDATES = "array<struct<start:int,end:int,evidence:double>>"
+_SCHEMA = f"doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base {_SPANS}, candidates {_CANDIDATES}"
 
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}={{0,2}}")
 _ALPHABETS = [(re.compile(p), "".join(map(chr, codes))) for p, codes in (
     (r"[0-9a-f]+\Z", [*range(48, 58), *range(97, 103)]),
     (r"[0-9A-F]+\Z", [*range(48, 58), *range(65, 71)]),
@@ -43,6 +53,7 @@ _ALPHABETS = [(re.compile(p), "".join(map(chr, codes))) for p, codes in (
     (r"[A-Za-z0-9]+\Z", [*range(65, 91), *range(97, 123), *range(48, 58)]),
     (r"[A-Za-z0-9+/]+\Z", [*range(65, 91), *range(97, 123), *range(48, 58), 43, 47]),
     (r"[A-Za-z0-9_-]+\Z", [*range(65, 91), *range(97, 123), *range(48, 58), 45, 95]),
+    (r"[A-Za-z0-9+/_-]+\Z", [*range(65, 91), *range(97, 123), *range(48, 58), 43, 47, 45, 95]),
 )]
 #: Rough frequencies of letters in ordinary European text, per thousand, a to z.
 _LETTERS = [80, 15, 30, 40, 120, 20, 20, 40, 75, 3, 7, 42, 26, 72, 70, 22, 2, 65, 68, 80, 32, 12, 14, 2, 12, 3]
@@ -108,34 +119,54 @@ def evidence(token: str, letters: str) -> float:
     return -len(token) * math.log(len(letters)) - sum(_TEXT[c] for c in token)
 
 
-def random_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans that pass the battery and overlap none of ``taken``."""
-    found = []
+def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
+    """(start, end, evidence) of runs that overlap none of the sorted spans ``taken``; those that the tests reject have no evidence."""
+    found, k, reach = [], 0, 0
     for m in _CANDIDATE.finditer(text):
+        while k < len(taken) and taken[k][0] < m.end():  # both are in order, so one pass over either will do
+            reach = max(reach, taken[k][1])
+            k += 1
         token = m[0].rstrip("=")
         kinds = any(c.islower() for c in token) + any(c.isupper() for c in token) + any(c.isdigit() for c in token)
-        if kinds < 2 or any(a < m.end() and m.start() < b for a, b in taken):
+        if kinds < 2 or reach > m.start():
             continue
         letters = infer_alphabet(token)
-        if letters:
-            e = evidence(token, letters)
-            found.append((e if uniformity(token, letters) > UNIFORM_P else -math.inf, m.start(), m.end()))
-    found.sort(key=lambda x: (-x[0], x[1]))
-    count = 0
-    for k, (e, _, _) in enumerate(found, 1):
-        if e >= math.log(len(found) / (k * FDR)):
-            count = k
-    return [(a, b) for _, a, b in found[:count]]
+        e = evidence(token, letters) if letters else -math.inf
+        found.append((m.start(), m.end(), e if e > 0 and uniformity(token, letters) > UNIFORM_P else -math.inf))
+    return found
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans and all spans as (start, kind's place in KINDS, end), sorted; offsets are code points, ends exclusive."""
+def _step(evidence: float) -> int:
+    """The place in the histogram; what has no evidence is at -1."""
+    return -1 if evidence <= 0 else int(min(evidence, MOST) / STEP)
+
+
+def threshold(counts: dict[int, int], fdr: float = FDR) -> float:
+    """The least evidence of a discovery, for numbers of candidates by step: infinite where nothing is found."""
+    m, k, least = sum(counts.values()), 0, math.inf
+    for step in sorted(counts, reverse=True):
+        k += counts[step]
+        if step >= 0 and step * STEP >= math.log(m / (k * fdr)):
+            least = step * STEP
+    return least
+
+
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind's place in KINDS, end), sorted; offsets are code points, ends exclusive."""
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base.sort()
-    more = [(a, 3, b) for a, b in random_spans(text, [(a, b) for a, _, b in base])]
-    return base, sorted([*base, *more])
+    return sorted(base)
+
+
+def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans and all spans of one text."""
+    base, counts = base_spans(text), {}
+    more = candidates(text, [(a, b) for a, _, b in base])
+    for _, _, e in more:
+        counts[_step(e)] = counts.get(_step(e), 0) + 1
+    least = threshold(counts)
+    return base, sorted([*base, *((a, 3, b) for a, b, e in more if _step(e) * STEP >= least)])
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
@@ -143,17 +174,28 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan_documents(documents: DataFrame) -> DataFrame:
-    """The columns of ``SCHEMA``, a row per row."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random: a row per row."""
 
     def f(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             out = []
             for doc, text in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
-                base, spans = scan(text)
-                n = [sum(k == x for _, x, _ in spans) for k in range(4)]
-                out.append((doc, n[0], n[1], n[2], hashlib.sha256(written(base).encode()).hexdigest(), written(spans), n[3]))
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
-            names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"]
+                base = base_spans(text)
+                n = [sum(k == x for _, x, _ in base) for k in range(3)]
+                spans = [{"start": a, "kind": k, "end": z} for a, k, z in base]
+                more = [{"start": a, "end": z, "evidence": e} for a, z, e in candidates(text, [(a, z) for a, _, z in base])]
+                out.append((doc, *n, hashlib.sha256(written(base).encode()).hexdigest(), spans, more))
+            whole = pa.int32()
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct({"start": whole, "kind": whole, "end": whole})), pa.list_(pa.struct({"start": whole, "end": whole, "evidence": pa.float64()}))]
+            names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "candidates"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names)
 
-    return map_arrow(documents.select(F.col("doc_id").cast("long"), "text"), f, SCHEMA)
+    scanned = cut(map_arrow(documents.select(F.col("doc_id").cast("long"), "text"), f, _SCHEMA))
+    step = lambda e: F.when(e <= 0, -1).otherwise(F.floor(F.least(e, F.lit(MOST)) / STEP)).cast("int")
+    each = scanned.select(F.explode("candidates").alias("c")).groupBy(step(F.col("c.evidence")).alias("step")).count()
+    least = threshold({r["step"]: r["count"] for r in each.collect()})  # a row for each step at most
+    random = F.filter("candidates", lambda c: step(c["evidence"]) * STEP >= least) if least < math.inf else F.filter("candidates", lambda c: F.lit(False))
+    found = F.transform(random, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
+    names = F.array(*map(F.lit, KINDS))
+    spans = F.transform(F.array_sort(F.concat("base", found)), lambda x: F.concat_ws(":", names[x["kind"]], x["start"], x["end"]))
+    return scanned.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.array_join(spans, ",").alias("spans"), F.size(found).cast("long").alias("n_random"))

@@ -36,11 +36,87 @@ def test_random_strings_are_found_and_text_is_not():
         _, spans = s.scan(f"the value {key} is kept")
         found += any(k == 3 for _, k, _ in spans)
     assert found >= 90
-    words = ["internationalisation", "Donaudampfschifffahrtsgesellschaft", "getElementByIdentifierName", "some_long_snake_case_identifier", "aaaaaaaaaaaaaaaaAAAAAAAAAAAAA1", "ABABABABABABABABABABababababab", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ"]
+    words = ["internationalisation", "Donaudampfschifffahrtsgesellschaft", "getElementByIdentifierName", "some_long_snake_case_identifier", "zzzzzzzzzzzzzzzzAAAAAAAAAAAAA1", "ABABABABABABABABABABababababab", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ"]
     for w in words:
         assert s.scan(f"see {w} there") == ([], [])
 
 
+def planted(seed, n=400):
+    """Texts of invented words and identifiers; a third hold one key of some encoding and length, whose span is given."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice(["ka", "lo", "mi", "ren", "sta", "en", "tion", "er", "Un", "be"]) for _ in range(r.randint(1, 4)))
+    odd = lambda: r.choice([word().title() + word().title() + word().title() + word().title(), f"{word()}_{word()}_{word()}_{r.randint(1, 2030)}", f"{word()}/{word()}/{word()}-{r.randint(1, 99)}/{word()}", f"{word()}{word()}{word()}{r.randint(1, 99)}"])
+    rows = []
+    for k in range(n):
+        words, span = [odd() if r.random() < 0.1 else word() for _ in range(r.randint(20, 200))], None
+        if k % 3 == 0:
+            raw = r.randbytes(r.choice([15, 20, 32, 48]))
+            key = r.choice([base64.b64encode(raw).decode(), base64.urlsafe_b64encode(raw).decode(), base64.b32encode(raw).decode().rstrip("="), raw.hex().upper(), "".join(r.choice(s._ALPHABETS[5][1]) for _ in range(len(raw)))])
+            at = r.randrange(len(words))
+            span = (len(" ".join(words[:at])) + (at > 0), len(key))
+            words.insert(at, key)
+        rows.append((k, " ".join(words), span))
+    return rows
+
+
+def test_recall_and_false_discoveries_over_a_table(spark):
+    rows = planted(5)
+    got = {r.doc_id: r for r in s.scan_documents(spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")).collect()}
+    hits = wrong = 0
+    for k, _, span in rows:
+        spans = [tuple(map(int, x.split(":")[1:])) for x in got[k].spans.split(",") if x.startswith("random:")]
+        assert len(spans) == got[k].n_random
+        right = [x for x in spans if span and x == (span[0], span[0] + span[1])]
+        hits, wrong = hits + bool(right), wrong + len(spans) - len(right)
+    assert hits >= 0.9 * sum(span is not None for _, _, span in rows)
+    assert wrong <= 0.02 * (hits + wrong)
+
+
+def test_spans_equal_a_plain_rule(spark):
+    """Candidates that overlap nothing, and the e-Benjamini-Hochberg rule over all of them, written out."""
+    rows = [*planted(6, 60), (900, 'token = "abcdefghijklmnop" ' + "0123456789abcdef" * 2 + " Zx9Kq2Lw8Rt4Vb6Nm1Pc", None), (901, None, None)]
+    each, m = [], 0
+    for k, text, _ in rows:
+        base = plain(text or "")
+        for c in re.finditer(r"[A-Za-z0-9+/_-]{16,}={0,2}", text or ""):
+            token = c[0].rstrip("=")
+            if sum(bool(re.search(p, token)) for p in ("[a-z]", "[A-Z]", "[0-9]")) >= 2 and not any(a < c.end() and c.start() < b for a, _, b in base):
+                letters = s.infer_alphabet(token)
+                e = s.evidence(token, letters) if s.uniformity(token, letters) > s.UNIFORM_P else 0
+                each.append((min(1000, int(e / 0.1)) if e > 0 else -1, k, c.start(), c.end()))
+    each.sort(reverse=True)
+    m, best = len(each), 0
+    for k in range(1, m + 1):
+        if each[k - 1][0] >= 0 and each[k - 1][0] * 0.1 >= s.math.log(m / (k * 0.01)):
+            best = k
+    want = {(k, a, b) for e, k, a, b in each if best and e >= each[best - 1][0]}
+    got = s.scan_documents(spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")).collect()
+    found = {(r.doc_id, *map(int, x.split(":")[1:])) for r in got for x in r.spans.split(",") if x.startswith("random:")}
+    assert found == want and len(want) > 10
+
+
+def test_many_spans_take_time_in_proportion():
+    import time
+
+    def took(n):
+        text = 'token = "abcdefghijklmnop1" Abcdefgh1jklmnopq_r ' * n
+        began = time.perf_counter()
+        s.scan(text)
+        return time.perf_counter() - began
+
+    took(50)
+    assert took(8000) < 12 * took(2000)  # four times the text
+
+
+def test_base_spans_of_the_documents_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r for r in s.scan_documents(docs).collect()}
+    for r in docs.collect():
+        base = plain(r.text or "")
+        assert [got[r.doc_id][c] for c in ("n_assign", "n_access", "n_hex")] == [sum(k == x for _, x, _ in base) for k in range(3)]
+        assert got[r.doc_id].base_sha256 == hashlib.sha256(s.written(base).encode()).hexdigest()
+
+
 def test_battery():
     r = random.Random(2)
     letters = s._ALPHABETS[5][1]
