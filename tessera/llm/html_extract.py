@@ -7,8 +7,8 @@ whether main text lies below it, so a dropped node can have no kept descendant:
 log-odds under that constraint by dynamic programming over the tree.
 
 Defined results: a null or empty page has the empty text; text outside any element belongs to the document node, which is always
-kept; rows are extracted one by one, so repeated rows, ties and extra columns change nothing; an empty table gives an empty
-result.
+kept; a null ``page_id`` or url stays null; rows are extracted one by one, so repeated rows, ties and extra columns change nothing; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -76,7 +76,7 @@ def features(page: Page, model: Model) -> np.ndarray:
     links, fields = subtree(np.array(page.links, float), ends), subtree(np.array(page.fields, float), ends)
     inside = subtree(np.array(page.inner, float) + 1, ends)
     paragraphs = subtree(np.array([t == "p" for t in page.tags], float), ends)
-    items = subtree(np.array([t in ("li", "td", "option") for t in page.tags], float), ends)
+    items = subtree(np.array([t in ("li", "td", "th", "dt", "dd", "option") for t in page.tags], float), ends)
     whole, up = max(1.0, chars[0]), np.maximum(parents, 0)
     sib = np.array(siblings)
     return np.stack([

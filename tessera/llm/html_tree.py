@@ -1,6 +1,8 @@
 """HTML to block-level trees: a tolerant tokeniser, implied end tags, and the text of blocks.
 
-The content of a raw element ends at ``</name`` before white space, ``/`` or ``>``, or with the page; nothing else in it is markup.
+The content of a raw element ends at ``</name`` before white space, ``/`` or ``>``, or with the page; nothing else in it is markup.  A muted
+element (``MUTED``: buttons, labels of form fields, drawings, formulas, players) stands within text and says nothing; it ends at its own end tag,
+or where a block around it ends.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import numpy as np
 
 _TAG = re.compile(r"""<(?:!--(.*?)(?:-->|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|[!?/][^>]*+(?:>|\Z)|([A-Za-z/][^>]*+)(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([A-Za-z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-RAW = frozenset("script style title textarea noscript iframe".split())
+RAW = frozenset("script style title textarea noscript iframe noframes noembed".split())
 #: The end of an element's raw content.
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
@@ -22,7 +24,8 @@ _SENTENCE = re.compile(r"[.,;:!?]")
 BLOCKS = frozenset("html body address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul option select caption iframe object template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not text of the page.
-HIDDEN = frozenset("script style title textarea noscript template svg math head iframe object select option button".split())
+HIDDEN = frozenset("template head object select option".split())
+MUTED = frozenset("button label svg math audio video canvas datalist meter progress output".split())
 #: start tag -> open elements that it ends, and where the search for them stops
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _ENDS_P = BLOCKS - {"html", "body", "option", "select", "iframe", "object", "template", "tbody", "thead", "tfoot", "tr", "td", "th", "caption"}
@@ -64,6 +67,7 @@ def parse(source: str) -> Page:
     stack: list[tuple[str, int]] = [("#document", 0)]
     pieces: list[str] = []
     in_link = hidden = 0
+    muted, inner = "", {}  # the muted element, and the tags open within it
     at, last = 0, len(source)
 
     def flush() -> None:
@@ -86,7 +90,7 @@ def parse(source: str) -> Page:
             hidden -= name in HIDDEN
 
     def said(text: str) -> None:
-        if text and not hidden:
+        if text and not hidden and not muted:
             text = html.unescape(text) if "&" in text else text
             pieces.append(text)
             if in_link:
@@ -99,6 +103,23 @@ def parse(source: str) -> Page:
         if m[3] is None:
             continue
         name = m[3].lower()
+        if muted:
+            if m[2]:
+                if inner.get(name):
+                    inner[name] -= 1
+                    if name == muted and not inner[name]:
+                        muted = ""
+                    continue
+                if name not in BLOCKS or not any(x[0] == name for x in stack):
+                    continue
+                muted = ""  # a block around it ends
+            else:
+                if name in RAW:
+                    end = _RAW_END[name].search(source, at)
+                    at = end.start() if end else last
+                elif name not in VOID and not m[4].endswith("/"):
+                    inner[name] = inner.get(name, 0) + 1
+                continue
         if m[2]:
             if name in BLOCKS or name == "head":
                 for k in range(len(stack) - 1, 0, -1):
@@ -125,8 +146,10 @@ def parse(source: str) -> Page:
                 page.links[node] += 1
             elif name == "br":
                 pieces.append(" ")
-            elif name in ("input", "textarea", "button", "label"):
+            elif name in ("input", "button", "label"):
                 page.fields[node] += 1
+            if name in MUTED and not m[4].endswith("/"):
+                muted, inner = name, {name: 1}
             continue
         if name in _ENDS:
             ended, stop = _ENDS[name]

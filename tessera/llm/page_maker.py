@@ -1,4 +1,7 @@
-"""Random pages with known main text, for fitting the extractor: invented words in many layouts, tidy and sloppy markup."""
+"""Random pages with known main text, for fitting the extractor: invented words in many layouts, tidy and sloppy markup.
+
+The layouts are drawn from what pages of many kinds do (blogs, news, manuals, shops, old table layouts), not from any table of pages.
+"""
 
 from __future__ import annotations
 
@@ -18,11 +21,16 @@ _NAMES = {
     "comments": "comments comment comment-list responses discussion disqus replies reply thread reader-comments".split(),
     "social": "share social sharing follow tags tagcloud meta author-box".split(),
 }
-_MAIN_NAMES = "content article post entry story main body text article-body post-content entry-content main-content story-body page-content article-text".split()
-_PLAIN_NAMES = "container wrapper row col inner page layout grid box block section outer".split()
+_MAIN_NAMES = "content article post entry story main body text article-body post-content entry-content main-content story-body page-content article-text site-content documentation single-post primary prose".split()
+#: Words that say nothing, on parts of every kind.
+_PLAIN_NAMES = "container wrapper row col inner page layout grid box block section outer site area list item info wrap region title width full home type primary secondary module component top bottom".split()
+#: Names of blocks of main text.
+_TEXT_NAMES = "title headline entry-title post-title article-title lead intro first text paragraph summary subtitle standfirst".split()
 _ENTITIES = ["&amp;", "&lt;", "&gt;", "&quot;", "&#39;", "&eacute;", "&nbsp;", "&mdash;", "&#x2019;", "&copy;", "&middot;"]
 #: Raw elements whose content looks like markup that never ends.
 _SCRIPTS = ["<script>for(i=0;i<n;i++){f(i)}</script>", "<script>if(a<b){g('it')}</script >", "<script><!-- h()</script>", '<style>a<b{content:"<p>"}</style>', "<SCRIPT>var q='</scripts><!--';</SCRIPT>", "<noscript><!-- off</noscript>"]
+_STYLES = ["", "", "<style>body{font:16px/1.5 serif}</style>", "<style>@media(max-width:40em){nav{display:none}}</style>", '<link rel="stylesheet" href="/s.css">', "<style>.a>.b{color:red}</style>"]
+_YEARS = ["2019", "2008 - 2021", "1999", "2024"]
 _SPACES = [" "] * 12 + ["\n", "  ", "&nbsp;", "<br>"]
 
 
@@ -70,6 +78,8 @@ class _Maker:
             text += " " + html.unescape(self.r.choice(_ENTITIES)).replace("\xa0", "-")
         if main:
             self.main.append(text)
+            if not name and self.r.random() < 0.12:
+                name = f' class="{self.r.choice(_TEXT_NAMES)}"'
         inner = self.marked(text)
         if tag == "p" and self.r.random() < 0.1:
             return f"<p{name}>{inner}\n"  # left open
@@ -80,8 +90,9 @@ class _Maker:
         if x < 0.25:
             return ""
         n = self.word() if self.r.random() < 0.1 else self.r.choice(names)  # a name that says nothing
-        if self.r.random() < 0.3:
-            n += self.r.choice([" ", "-"]) + self.r.choice(_PLAIN_NAMES + names)
+        if self.r.random() < 0.4:
+            more = self.r.choice(_PLAIN_NAMES + _PLAIN_NAMES + names)
+            n = f"{more}-{n}" if self.r.random() < 0.4 else n + self.r.choice([" ", "-"]) + more
         return f' class="{n}"' if x < 0.75 else f' id="{n.replace(" ", "-")}"' if x < 0.92 else f" class={n.split()[0]}"
 
     def sure(self, names: list[str]) -> str:
@@ -102,7 +113,9 @@ class _Maker:
             inner = r.choice([self.block("h1", 1, 4, False), self.block("div", 1, 4, False), f'<a href="/">{self.plain(1, 2)}</a>']) + (self.block("p", 2, 9, False) if r.random() < 0.4 else "")
             return f"<header{self.attribute(_NAMES['header'])}>{inner}{self.part('nav') if r.random() < 0.4 else ''}</header>" if r.random() < 0.6 else f"<div{self.sure(_NAMES['header'])}>{inner}</div>"
         if kind == "footer":
-            inner = f"&copy; {self.word()}.example.com &middot; {html.escape(self.plain(2, 25))}" if r.random() < 0.5 else self.block("p", 3, 30, False) + (self.link_list(3) if r.random() < 0.4 else "")
+            mark = r.choice(["&copy; ", "Copyright ", "(c) ", "", "&#169;"])
+            line = mark + " ".join(r.sample([r.choice(_YEARS), html.escape(self.plain(1, 3)), f'<a href="/{self.word()}">{self.word()}</a>', html.escape(self.plain(2, 25))], r.randint(1, 4)))
+            inner = r.choice([lambda: line, lambda: f"<p>{line}</p>", lambda: self.block("p", 3, 30, False) + line, lambda: self.link_list(r.randint(2, 6)) + f"<div>{line}</div>", lambda: f"<address>{html.escape(self.plain(3, 12))}</address>{line}"])()
             return f"<footer{self.attribute(_NAMES['footer'])}>{inner}</footer>" if r.random() < 0.65 else f"<div{self.sure(_NAMES['footer'])}>{inner}</div>"
         if kind == "aside":
             inner = self.block(r.choice(["h2", "h3", "h4"]), 1, 4, False) + "".join(r.choice([lambda: self.link_list(r.randint(2, 6)), lambda: self.block("p", 4, 60, False), lambda: self.block("div", 4, 30, False)])() for _ in range(r.randint(1, 3)))
@@ -132,15 +145,17 @@ class _Maker:
         title = self.plain(3, 14)
         if r.random() < 0.85:
             self.main.append(title)
-            out.append(f"<{(t := r.choice(['h1', 'h1', 'h1', 'h2']))}>{html.escape(title)}</{t}>")
+            t = r.choice(["h1", "h1", "h1", "h2"])
+            heading = f"<{t}{self.attribute(_TEXT_NAMES) if r.random() < 0.4 else ''}>{html.escape(title)}</{t}>"
+            out.append(f'<header class="{r.choice(_MAIN_NAMES)}-header">{heading}</header>' if r.random() < 0.1 else heading)
         if r.random() < 0.15:
             out.append(self.part("social"))
         for k in range(r.choice([1, 1, 2, 3, 4, 6, 9, 14])):
             x = r.random()
-            if k == 0 and x < 0.3:  # sloppy: an open bold, a break, a paragraph in a paragraph
-                a, b = self.plain(5, 60), self.plain(5, 60)
-                self.main += [a, b]
-                out.append(f"<p><b>{self.marked(a)}<br><p>{self.marked(b)}</p>")
+            if x < 0.1:  # sloppy: elements that are never closed
+                texts = [self.plain(3, 60) for _ in range(r.randint(1, 3))]
+                self.main += texts
+                out.append("".join(f"<p{r.choice(['', ' align=left'])}>{r.choice(['', '<b>', '<i>', '<font size=2>', '<span>'])}{self.marked(t)}{r.choice(['', '<br>', '</p>'])}" for t in texts))
             elif x < 0.78:
                 out.append(self.block("p", *r.choice([(1, 6), (10, 60), (30, 150), (60, 300)]), True))
             elif x < 0.84:
@@ -151,7 +166,15 @@ class _Maker:
             elif x < 0.91:
                 out.append(f"<blockquote>{self.block('p', 8, 60, True)}</blockquote>")
             elif x < 0.93:
-                out.append("<table>" + "".join("<tr>" + "".join(self.block("td", 1, 4, True) for _ in range(3)) + "</tr>" for _ in range(r.randint(1, 4))) + "</table>")
+                wide, rows = r.randint(2, 4), r.randint(1, 5)
+                caption = self.block("caption", 1, 8, True) if r.random() < 0.5 else ""
+                heads = "<tr>" + "".join(self.block("th", 1, 3, True) for _ in range(wide)) + "</tr>" if r.random() < 0.7 else ""
+                cells = "".join("<tr>" + "".join(self.block("th" if c == 0 and r.random() < 0.2 else "td", 1, r.choice([4, 12]), True) for c in range(wide)) + "</tr>" for _ in range(rows))
+                out.append(f"<table{r.choice(['', ' class=data', ' border=1'])}>{caption}" + (f"<thead>{heads}</thead><tbody>{cells}</tbody>" if r.random() < 0.4 else heads + cells) + "</table>")
+            elif x < 0.94:
+                out.append("<dl>" + "".join(self.block("dt", 1, 4, True) + self.block("dd", 3, 30, True) for _ in range(r.randint(1, 4))) + "</dl>")
+            elif x < 0.945:
+                out.append(self.block("pre", 5, 40, True))
             elif x < 0.95:
                 out.append(f'<figure><img src="/x.png">{self.block("figcaption", 3, 15, True)}</figure>')
             elif x < 0.97:
@@ -179,10 +202,13 @@ class _Maker:
         ends = some(["comments", "aside", "form", "social", "ad", "footer", "notice"], 0.35)
         r.shuffle(tops)
         title = html.escape(self.plain(2, 9))
-        head = f'<head><meta charset="utf-8"><title>{title}</title><style>p{{margin:0}}</style><script>var t="</p>";track({r.randint(0, 9)});</script>{r.choice(_SCRIPTS) if r.random() < 0.3 else ""}</head>'
+        parts = [f"<title>{title}</title>", r.choice(_STYLES), r.choice(_SCRIPTS) if r.random() < 0.5 else "", r.choice(["", '<meta charset="utf-8">', f'<meta name="description" content="{title}">'])]
+        r.shuffle(parts)
+        head = f"<head>{''.join(parts)}</head>" if r.random() < 0.9 else f"<title>{title}</title>"
         noise = lambda: r.choice(["", "", "", "<!-- note -->", "<script>x('<p>')</script>", "<noscript><p>off</p></noscript>", "<hr>", r.choice(_SCRIPTS)])
         body = noise().join([*tops, inner, *ends]) + noise()
-        return f'<!DOCTYPE html><html lang="xx">{head}<body{self.attribute(_PLAIN_NAMES) if r.random() < 0.3 else ""}>{body}' + r.choice(["</body></html>", "</body></html>", ""]), list(self.main)
+        start = r.choice(["<!DOCTYPE html><html>", '<!doctype html>\n<html lang="xx">', "<html>", ""])
+        return f'{start}{head}<body{self.attribute(_PLAIN_NAMES + _MAIN_NAMES) if r.random() < 0.4 else ""}>{body}' + r.choice(["</body></html>", "</body></html>", ""]), list(self.main)
 
 
 def make(pages: int, seed: int) -> list[tuple[str, list[str]]]:
