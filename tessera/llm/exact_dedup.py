@@ -1,7 +1,10 @@
 """Exact dedup: group by a 128-bit content hash, keep one stable id, compare bytes inside the groups.
 
-Grouping is by (hash, normalised text): the hash deals the rows out and the text is compared byte by byte, in a map-side
-combining aggregate, so a hot group shrinks to a row per map task before the shuffle and a collision of hashes makes two groups.
+Normalising and hashing are built-in functions.  Rows are first grouped by hash alone, in narrow rows.  Then the texts of hashes with two
+rows or more are grouped by (hash, text), which compares them byte by byte, in a map-side combining aggregate, so that a hot group shrinks to a
+row per map task before the shuffle and a collision of hashes makes two groups.  These texts are found by a cheaper hash, of the whole text in
+lower case, which equal texts share, where such hashes are few enough to be sent to every task (``BROADCAST_ROWS``; they are counted
+first); beyond it all texts are grouped.
 
 Defined results: a null text counts as empty; rows that repeat an id with an equal text are one document of the output and
 each counts in ``group_size``; ids may be null (a group of null ids only keeps one of them); extra columns are ignored by
@@ -10,69 +13,65 @@ each counts in ``group_size``; ids may be null (a group of null ids only keeps o
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, map_arrow, strip_nulls, wider
+from tessera.llm.common import cut, few, free_names
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-def content_hash(normalised: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(normalised)
 
+def normalised(text: Column) -> Column:
+    """A-Z become a-z; other characters stay; null is empty."""
+    return F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
 
-def normalise(text: bytes) -> bytes:
-    """A-Z become a-z; other characters stay."""
-    return text.lower()
 
+def content_hash(text: Column) -> Column:
+    return F.unhex(F.md5(text))
 
-def _hashed(documents: DataFrame, hash_of: Callable[[bytes], bytes], texts: bool) -> DataFrame:
-    """doc_id, h and either the normalised text or its SHA-256."""
 
-    def f(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
-            normal = [normalise(x) for x in strip_nulls(b.column(1))]
-            last = pa.array(normal, pa.binary()) if texts else pa.array([hashlib.sha256(x).hexdigest() for x in normal], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hash_of(x) for x in normal], pa.binary()), last], ["doc_id", "h", "last"])
-
-    return map_arrow(documents.select(F.col("doc_id").cast("long"), "text"), f, f"doc_id long, h binary, last {'binary' if texts else 'string'}")
-
-
-def groups(documents: DataFrame, keep: str = "smallest", hash_of: Callable[[bytes], bytes] = content_hash) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, n_rows, h of every document, dropped ones too."""
+def groups(documents: DataFrame, keep: str = "smallest", hash_of: Callable[[Column], Column] = content_hash) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256, n_rows of every document, dropped ones too."""
     best = {"smallest": F.min, "largest": F.max}[keep]
-    keys = cut(_hashed(documents, hash_of, False).groupBy("doc_id", "h", F.col("last").alias("text_sha256")).agg(F.count("*").alias("n_rows")))
-    texts = _hashed(documents, hash_of, True)
-    by_text = texts.groupBy("h", "last").agg(F.count("*").alias("group_size"), best("doc_id").alias("keep_id"))
-    sizes = cut(by_text.select("h", "group_size", "keep_id"))
-    collided = sizes.groupBy("h").count().where("count > 1").select("h")
+    low = F.xxhash64(F.lower(F.coalesce(F.col("text"), F.lit(""))))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("t"), low.alias("low"))
+    narrow = rows.select("doc_id", hash_of(F.col("t")).alias("h"), F.sha2("t", 256).alias("text_sha256"), "low")
+    keys = cut(narrow.groupBy("h", "doc_id", "text_sha256", "low").agg(F.count("*").alias("n_rows")))
+    sizes = cut(keys.groupBy("h").agg(F.sum("n_rows").alias("group_size"), best("doc_id").alias("keep_id"), F.min("low").alias("low"), F.max("low").alias("low2")))
+
+    hashed = lambda df: df.select("doc_id", hash_of(F.col("t")).alias("h"), "t")
+    shared = few(sizes.where("group_size > 1").select(F.explode(F.array("low", "low2")).alias("k")).distinct())
+    # a false match costs a comparison, no more; of texts that collide two at least meet here
+    some = rows if shared is None else rows.join(shared, F.col("low") == F.col("k"), "left_semi")
+    collided = cut(hashed(some).groupBy("h", "t").agg(F.lit(1)).groupBy("h").count().where("count > 1").select("h"))
     if collided.isEmpty():
-        out = keys.join(sizes, "h")
-    else:  # two texts with one hash: their rows are told apart by the texts themselves
-        rows = keys.join(collided, "h", "left_anti").join(sizes, "h")
-        # the texts of a hash differ, so their SHA-256 tells them apart once each has been compared
-        clash = texts.join(collided, "h").groupBy("h", "last").agg(F.count("*").alias("group_size"), best("doc_id").alias("keep_id"))
-        clash = clash.select("h", F.sha2("last", 256).alias("text_sha256"), "group_size", "keep_id")
-        out = rows.unionByName(keys.join(collided, "h", "left_semi").join(clash, ["h", "text_sha256"]))
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_rows", "h")
+        out = keys.join(sizes.drop("low", "low2"), "h")
+    else:  # the texts of a hash differ, so their SHA-256 tells them apart once each has been compared
+        clash = hashed(rows).join(collided, "h").groupBy("h", "t").agg(F.count("*").alias("group_size"), best("doc_id").alias("keep_id"))
+        clash = clash.select("h", F.sha2("t", 256).alias("text_sha256"), "group_size", "keep_id")
+        alone = keys.join(collided, "h", "left_anti").join(sizes.drop("low", "low2"), "h")
+        out = alone.unionByName(keys.join(collided, "h", "left_semi").join(clash, ["h", "text_sha256"]))
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_rows")
 
 
 def keep_one(documents: DataFrame, keep: str = "smallest") -> DataFrame:
-    """The rows, with all their columns, that stay: one of each group of equal texts."""
-    found = cut(groups(documents, keep).where("kept").select(F.col("doc_id").alias("_k_id"), F.col("h").alias("_k_h"), "n_rows"))
-    at, names = documents.columns.index("text"), documents.columns
-
-    def f(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
-            h = pa.array([content_hash(normalise(x)) for x in strip_nulls(b.column(at))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, h], [*b.schema.names, "_row_h"])
-
-    rows = map_arrow(documents, f, wider(documents.schema, _row_h="binary"))
-    stay = rows.join(found, rows["doc_id"].cast("long").eqNullSafe(found["_k_id"]) & (rows["_row_h"] == found["_k_h"]), "left_semi")
-    if found.where("n_rows > 1").isEmpty():
-        return stay.select(*names)
-    return stay.withColumn("_id", F.col("doc_id")).dropDuplicates(["_id", "_row_h"]).select(*names)
+    """The rows, with all their columns, that stay: one of each group of equal texts.
+
+    Few rows go, so those that go are looked for: whole texts move only where they are too many for every task to know.
+    """
+    found = groups(documents, keep).where("NOT kept OR n_rows > 1").select("doc_id", F.unhex("text_sha256").alias("sha"), "kept")
+    named = dict(zip(("doc_id", "sha", "kept"), free_names(documents, "found_id", "found_sha", "found_kept"), strict=True))
+    listed = cut(found.withColumnsRenamed(named))
+    listed = few(listed) or listed
+    own_id, own_sha = free_names(documents, "own_id", "own_sha")
+    rows = documents.withColumns({own_id: F.col("doc_id").cast("long"), own_sha: F.unhex(F.sha2(normalised(F.col("text")), 256))})
+    same = F.col(own_id).eqNullSafe(F.col(named["doc_id"])) & (F.col(own_sha) == F.col(named["sha"]))
+    met = rows.join(listed, same, "left")
+    once = met.where(F.col(named["kept"]).isNull())
+    if listed.where(F.col(named["kept"])).isEmpty():
+        return once.select(*documents.columns)
+    # rows that repeat an id and a text: one of them stays
+    repeated = met.where(F.col(named["kept"])).dropDuplicates([own_id, own_sha])
+    return once.unionByName(repeated).select(*documents.columns)

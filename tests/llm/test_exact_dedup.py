@@ -1,8 +1,10 @@
 import hashlib
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, queries
+from tessera.llm import common, exact_dedup, queries
 
 A_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ROWS = [(1, "Ab É", 9), (2, "aB É", 8), (3, "ab é", 7), (4, None, 6), (5, "", 5), (6, "x" * 200_000, 4), (7, "X" * 200_000, 3), (7, "x" * 200_000, 2), (8, "Straße", 1), (9, "STRASSE", 0), (None, "Ab é", 0)]
@@ -30,20 +32,29 @@ def found(df):
     return {tuple(r) for r in rows}
 
 
-def test_against_brute_force(spark):
+@pytest.fixture(params=[None, 0], ids=["broadcast", "shuffled"])
+def most(request, monkeypatch):
+    if request.param is not None:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", request.param)
+
+
+def test_against_brute_force(spark, most):
     for keep in ("largest", "smallest"):
         assert found(exact_dedup.groups(table(spark), keep)) == brute(ROWS, keep)
 
 
-def test_collisions_of_the_hash_are_told_apart(spark):
-    assert found(exact_dedup.groups(table(spark), "largest", hash_of=lambda x: bytes([len(x) % 2]))) == brute(ROWS, "largest")
+def test_collisions_of_the_hash_are_told_apart(spark, most):
+    for parts in (1, 2):
+        by_length = lambda t, n=parts: F.unhex(F.lpad((F.length(t) % n).cast("string"), 2, "0"))
+        assert found(exact_dedup.groups(table(spark), "largest", hash_of=by_length)) == brute(ROWS, "largest")
 
 
-def test_keep_one_keeps_columns_and_one_row_of_each_group(spark):
-    df = table(spark, [*ROWS, ROWS[0]])
+def test_keep_one_keeps_columns_and_one_row_of_each_group(spark, most):
+    df = table(spark, [*ROWS, ROWS[0]]).withColumns({"_id": F.lit("K1"), "OWN_SHA": F.lit("s"), "found_id": F.lit(5), "h": F.lit(1)})
     kept = exact_dedup.keep_one(df)
     assert kept.columns == df.columns
     rows = kept.collect()
+    assert {tuple(r)[3:] for r in rows} == {("K1", "s", 5, 1)}
     assert sorted((r[0] if r[0] is not None else -1, len(r[1] or "")) for r in rows) == [(1, 4), (3, 4), (4, 0), (6, 200_000), (8, 6), (9, 7)]
 
 
