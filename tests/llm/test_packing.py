@@ -86,3 +86,13 @@ def test_empty_and_repeated_rows(spark, tokenizer):
     assert packing.pack(spark.createDataFrame([], schema), PATH).collect() == []
     rows = [(1, "same text")] * 3
     check(packing.pack(spark.createDataFrame(rows, schema), PATH, window=4).collect(), rows, 4, tokenizer)
+
+
+def test_the_documents_table_is_packed_whole(spark, tokenizer):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pieces = packing.pack(docs, PATH).collect()
+    check(pieces, [(r.doc_id, r.text) for r in docs.collect()], packing.WINDOW, tokenizer)
+    sizes = {}
+    for p in pieces:
+        sizes[p.sequence_id] = sizes.get(p.sequence_id, 0) + p.length
+    assert sorted(sizes.values())[1:] == [packing.WINDOW] * (len(sizes) - 1)  # all but one are full
