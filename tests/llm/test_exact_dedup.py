@@ -58,6 +58,14 @@ def test_keep_one_keeps_columns_and_one_row_of_each_group(spark, most):
     assert sorted((r[0] if r[0] is not None else -1, len(r[1] or "")) for r in rows) == [(1, 4), (3, 4), (4, 0), (6, 200_000), (8, 6), (9, 7)]
 
 
+def test_texts_of_an_id_that_differ_in_case_beyond_ascii_stay_apart(spark, most):
+    rows = [(7, "É x", 0), (7, "é x", 1), (8, "É X", 2), (8, "e x", 3), (9, "é x", 4), (9, "é X", 5), (10, "plain", 6)]
+    df = table(spark, rows)
+    assert found(exact_dedup.groups(df)) == brute(rows, "smallest")
+    assert sorted(r[0] for r in exact_dedup.keep_one(df).collect()) == [7, 7, 8, 10]
+    assert sorted(r[0] for r in exact_dedup.keep_one(df, "largest").collect()) == [8, 8, 9, 10]
+
+
 def test_empty_table(spark):
     assert found(exact_dedup.groups(table(spark, []), "largest")) == set()
     assert exact_dedup.keep_one(table(spark, [])).collect() == []
