@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences: quality, exact and near copies, mixture, packing."""
+"""From raw documents to packed training sequences: quality, exact and near copies, mixture, packing.
+
+Every stage takes the rows that the one before it kept, with columns ``doc_id`` and ``text`` and any others, and gives the same columns,
+the last one pieces of sequences.  A null text counts as empty; an empty table gives an empty one; extra columns of any name are kept.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +14,39 @@ from tessera.llm.queries import tokenizer_path
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier, fitted on labelled rows among them, rejects go."""
+    """Rows that the classifier, fitted on labelled rows among them that aren't held out, rejects go.
+
+    Every row is judged by its own text: equal texts fare alike, an empty one by the bias; without labels all scores are 0.5 and all rows stay.
+    """
     return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays: that with the smallest id."""
+    """One row of each group of equal texts (A-Z and a-z are the same) stays: that with the smallest id.
+
+    Rows that repeat id and text leave one, any of them; of null ids one stays where the group has no other.
+    """
     return exact_dedup.keep_one(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays: that with the smallest id."""
+    """One document of each class of near copies (0.8 of shingles of five words) stays: that with the smallest id.
+
+    Empty texts and null ids have no near copies and stay; rows that share an id but not a text are judged apart.
+    """
     return neardup.keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row as many times as the target weights ask for."""
+    """Every row as many times as the target weights ask for: not at all, once or repeated, under its own id.
+
+    Without labels every row stays once; targets out of reach give the rates nearest to them, with a warning.
+    """
     return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of full sequences."""
+    """The pieces of full sequences: every token of every row in exactly one; an empty text is its end token."""
     return packing.pack(docs, tokenizer_path())
 
 
