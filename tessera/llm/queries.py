@@ -83,6 +83,25 @@ ORACLES: dict[str, str] = {
               FROM v a JOIN v b ON len(a.q) = len(b.q) AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    # all pairs, exactly, for ids that don't repeat
+    "op3_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, string_split(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), ' ') AS w FROM documents WHERE doc_id IS NOT NULL AND regexp_matches(text, '\S')),
+        k AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM w),
+        sets AS (SELECT doc_id, list_sort(list(DISTINCT array_to_string(w[k : k + 4], ' '))) AS s FROM k GROUP BY doc_id),
+        reps AS (SELECT s, min(doc_id) AS r, count(*) AS copies, len(s) AS n FROM sets GROUP BY s),
+        each AS (SELECT r, n, unnest(s) AS x FROM reps),
+        ranked AS (SELECT r, n, x, row_number() OVER (PARTITION BY r ORDER BY f, x) AS place FROM each JOIN (SELECT x, count(*) AS f FROM each GROUP BY x) USING (x)),
+        -- sets at 0.8 share one of the rarest n - ceil(0.8 n) + 1 of their shingles
+        rare AS (SELECT r, n, x FROM ranked WHERE place <= n - (4 * n + 4) // 5 + 1),
+        near AS (SELECT DISTINCT a.r AS a, b.r AS b FROM rare a JOIN rare b ON a.x = b.x AND a.r < b.r AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+        met AS (SELECT a, b, any_value(p.n) + any_value(q.n) AS n, count(*) AS common FROM near JOIN each p ON p.r = a JOIN each q ON q.r = b AND q.x = p.x GROUP BY a, b),
+        pairs AS (SELECT a, b FROM met WHERE 5 * common >= 4 * (n - common)),
+        links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+        reach(a, b) AS (SELECT r, r FROM reps UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+        class AS (SELECT a AS r, min(b) AS class_id FROM reach GROUP BY a),
+        counted AS (SELECT a AS r, sum(copies) AS others FROM links JOIN reps ON reps.r = links.b GROUP BY a)
+        SELECT d.doc_id::BIGINT AS doc_id, coalesce(class_id, d.doc_id)::BIGINT AS class_id, coalesce(others + copies - 1, copies - 1, 0)::BIGINT AS n_links, coalesce(r, d.doc_id)::BIGINT AS set_id
+        FROM documents d LEFT JOIN sets USING (doc_id) LEFT JOIN reps USING (s) LEFT JOIN class USING (r) LEFT JOIN counted USING (r)""",
     "op6_chat_formatting": r"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
