@@ -4,11 +4,9 @@
    with a number of copies.  A representative has a path of ``DEPTH`` symbols (16 bits of a minimum each) in each of ``TREES`` tries.
 2. The tries are the paths in sorted order, over all partitions: rows are range-partitioned by (tree, path, representative), so a trie's
    hot branch may span tasks, and one streaming pass finds who shares a prefix with a neighbour.
-3. Prefixes are shortened adaptively: from the whole path down, symbol by symbol, until the recall that is estimated from the data
-   reaches the target.  The estimate comes from a pilot: whole branches of one trie at a short prefix, of ``PILOT`` representatives at
-   most, are compared exactly, which tells how similar linked pairs are (each pair weighted by the inverse of its chance to share the
-   branch); a prefix of length d finds a pair of similarity s with probability 1 - (1 - s**d)**trees.  With fewer than
-   ``PILOT_LINKS`` pilot links all pairs are taken to be at the threshold itself, which is the worst case.
+3. Prefixes are shortened from the whole path down, symbol by symbol, until every link is found with the target probability: a prefix
+   of length d finds a pair of similarity s with probability 1 - (1 - s**d)**trees, which is least at the threshold itself.  So the length
+   follows from threshold, trees and target, and neither a sample of the rows nor an average over unlike links has a part in it.
 4. Nodes with the same members are one.  Members of a node are compared with each other in a cell of their own, and a pair that shares
    several nodes counts in the smallest of them; where the nodes of a connected component hold more pairs than the component itself (a
    group of near copies meets in most trees), the component is the cell instead.  So no more pairs are compared than collide, with
@@ -39,9 +37,8 @@ from tessera.llm.common import BLANKS, RunHashes, cut, few, free_names, map_arro
 from tessera.llm.graph import components_by_leaders
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, DEPTH, TARGET_RECALL = 32, 8, 0.9999
-#: The pilot: representatives at most, length of the prefix whose branches are compared, members of a branch at most, links at least.
-PILOT, PILOT_PREFIX, PILOT_BRANCH, PILOT_LINKS = 4096, 4, 64, 200
+#: The target is the probability that a link is found, for each link.
+TREES, DEPTH, TARGET_RECALL = 32, 8, 1 - 1e-7
 #: Representatives, and shingles, that a chunk of a large cell has on average at most.
 CHUNK_ROWS, CHUNK_SHINGLES = 64, 2_000_000
 
@@ -157,42 +154,9 @@ def _matched(reps: DataFrame, length: int) -> DataFrame:
     return map_arrow(tries, f, "node long, v long")
 
 
-def _pilot(documents: DataFrame, reps: DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Similarities of linked pairs in some branches of the first trie, their weights, and how many there are."""
-    hi = F.col("paths")[0]["hi"]
-    branch = F.xxhash64(F.shiftright(hi, 64 - 16 * PILOT_PREFIX) if PILOT_PREFIX < 4 else hi)
-    rows = reps.select("doc_id", "h", "set_key", branch.alias("branch"))
-    some = rows.groupBy("branch").count().where(F.col("count").between(2, PILOT_BRANCH)).orderBy("branch").limit(PILOT // 2).collect()
-    within = np.cumsum([r["count"] for r in some]) <= PILOT
-    if not within.any():
-        return np.zeros(0), np.zeros(0), 0
-    chosen = documents.sparkSession.createDataFrame([(r["branch"],) for r, x in zip(some, within, strict=True) if x], "branch long")
-    few = rows.join(F.broadcast(chosen), "branch")  # PILOT rows at most, so they may be broadcast too
-    texts = documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).join(F.broadcast(few), ["doc_id", "h"])
-
-    def f(table: pa.Table) -> pa.Table:
-        hashes, sets = RunHashes(BLANKS), {}
-        for text, key in zip(table.column("text").to_pylist(), table.column("set_key").to_pylist(), strict=True):
-            s = shingles(text or "", hashes)
-            if set_key(s) == key:
-                sets[key] = s
-        out = np.zeros(0)
-        if len(sets) > 1:
-            both, sizes = Cell(threshold).overlaps(list(sets.values())), np.array([len(s) for s in sets.values()], float)
-            similarity = (both / (sizes[:, None] + sizes[None, :] - both))[np.triu_indices(len(sets), 1)]
-            out = similarity[similarity >= threshold]
-        return pa.table({"bin": pa.array(np.floor(out * 200).astype(np.int64))})
-
-    seen = texts.select("branch", "set_key", "text").groupBy("branch").applyInArrow(f, "bin long").groupBy("bin").count().collect()
-    s = np.array([max(threshold, r["bin"] / 200) for r in seen])
-    return s, np.array([r["count"] for r in seen]) / s**PILOT_PREFIX, sum(r["count"] for r in seen)
-
-
-def _length(documents: DataFrame, reps: DataFrame, threshold: float, trees: int, depth: int, target: float) -> int:
-    similarities, weights, links = _pilot(documents, reps, threshold)
-    if links < PILOT_LINKS:
-        similarities, weights = np.array([threshold]), np.ones(1)
-    return matched_length(similarities, weights, trees, depth, target)
+def _length(threshold: float, trees: int, depth: int, target: float) -> int:
+    """The longest prefix that finds each pair at the threshold or above with the target probability."""
+    return matched_length(np.array([threshold]), np.ones(1), trees, depth, target)
 
 
 def _buckets(matched: DataFrame) -> DataFrame:
@@ -290,7 +254,7 @@ def _judged(documents: DataFrame, threshold: float = THRESHOLD, trees: int = TRE
     reps = cut(reps.orderBy("doc_id", "set_key")).withColumn("v", F.monotonically_increasing_id())
 
     # dealt by v: what a pass over sorted tries leaves of a hot branch stands in few partitions
-    buckets = _buckets(cut(_matched(reps, _length(documents, reps, threshold, trees, depth, target)).repartition("v")))
+    buckets = _buckets(cut(_matched(reps, _length(threshold, trees, depth, target)).repartition("v")))
     sizes = buckets.join(reps.select("v", "n"), "v").groupBy("dense", "bucket").agg(F.greatest(F.ceil(F.count("*") / CHUNK_ROWS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
     sizes = cut(sizes)
     dealt = buckets.join(few(sizes) or sizes, ["dense", "bucket"]).groupBy("v").agg(F.collect_list(F.struct("bucket", "chunks", "dense")).alias("cells"))  # one for each tree at most

@@ -209,3 +209,19 @@ def test_texts_that_share_an_id_are_documents_of_their_own(spark):
     kept = [tuple(r) for r in neardup.keep_one(df).collect()]
     assert len(kept) == 6 and {(1, a), (2, b), (2, None), (None, a), (None, "")} < set(kept)
     assert sum(r in kept for r in [(3, c), (3, c + " more")]) == 1
+
+
+def test_links_at_the_threshold_are_found_among_many_closer_ones(spark):
+    """Groups of very near copies hold most links; the pairs at 0.8 are all found nevertheless."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    rows = []
+    for k in range(2000):
+        w = [word() for _ in range(13)]  # nine shingles, of which the pair shares eight
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:12], word()]))]
+    assert all(10 * len(sets(a) & sets(b)) == 8 * len(sets(a) | sets(b)) for (_, a), (_, b) in zip(rows[::2], rows[1::2], strict=True))
+    for g in range(40):
+        w = [word() for _ in range(300)]
+        rows += [(100_000 + 1000 * g + k, " ".join([*w, word()])) for k in range(60)]  # any two differ in their last shingle
+    got = {x.doc_id: x.n_links for x in neardup.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert [i for i, _ in rows if got[i] != (1 if i < 100_000 else 59)] == []
