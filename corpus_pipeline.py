@@ -14,11 +14,11 @@ from tessera.llm.queries import tokenizer_path
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier, fitted on labelled rows among them that aren't held out, rejects go.
+    """Rows that the classifier, fitted on all labelled rows among them that aren't held out, rejects go.
 
     Every row is judged by its own text: equal texts fare alike, an empty one by the bias; without labels all scores are 0.5 and all rows stay.
     """
-    return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return quality.keep_good(docs, quality.fit_all(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +40,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as many times as the target weights ask for: not at all, once or repeated, under its own id.
 
-    Without labels every row stays once; targets out of reach give the rates nearest to them, with a warning.
+    Domains are learned from all labelled rows that aren't held out.  Without labels every row stays once; targets out of reach give the rates nearest to them, with a warning.
     """
-    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fit=mixing.fit_all_domains)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ columns of any names are kept; an empty table gives an empty result.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,8 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh_dir, map_arrow, strings, wider
-from tessera.llm.ngram_model import Featurizer, fit_ftrl
-from tessera.llm.quality import MAX_CHARS, MAX_ROWS, labelled_sample
+from tessera.llm.ngram_model import Featurizer, Logistic, fit_ftrl
+from tessera.llm.quality import MAX_CHARS, MAX_ROWS, fit_shards, labelled_sample, shards_of
 
 DOMAINS = ("clean", "low", "toxic")
 WEIGHTS = (0.98, 0.015, 0.005)
@@ -54,16 +54,40 @@ class DomainModel:
         return s / s.sum(axis=1, keepdims=True), np.array([len(features.hashes.of(t.encode())) for t in texts], np.int64)
 
 
+_FTRL = {"alpha": 0.5, "l1": L1, "epochs": EPOCHS}
+
+
+def _features() -> Featurizer:
+    return Featurizer(BITS, "presence", pairs=False)
+
+
+def _targets(labels: np.ndarray) -> list[np.ndarray]:
+    """Of each domain a 1 for the rows (quality, toxic) that are of it."""
+    kind = np.where(labels[:, 1] != 0, 2, np.where(labels[:, 0] != 0, 0, 1))
+    return [(kind == k).astype(float) for k in range(len(DOMAINS))]
+
+
+def _domain_model(models: list[Logistic]) -> DomainModel:
+    return DomainModel([m.weights for m in models], [m.bias for m in models])
+
+
 def fit_domains(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> DomainModel:
     """One-against-rest FTRL models on word presence, from a bounded sample of labelled rows."""
     rows = labelled_sample(documents, labels, ["quality", "toxic"], max_rows, max_chars)
     if not rows:
         return DomainModel([np.zeros(1 << BITS, np.float32)] * len(DOMAINS), [30.0] + [-30.0] * (len(DOMAINS) - 1))
-    x = Featurizer(BITS, "presence", pairs=False).transform([r[0] for r in rows])
-    kind = np.array([2 if r[2] else 0 if r[1] else 1 for r in rows], int)
+    x, y = _features().transform([r[0] for r in rows]), np.array([r[1:] for r in rows], int)
     del rows
-    models = [fit_ftrl(x, (kind == k).astype(float), BITS, alpha=0.5, l1=L1, epochs=EPOCHS) for k in range(len(DOMAINS))]
-    return DomainModel([m.weights for m in models], [m.bias for m in models])
+    return _domain_model([fit_ftrl(x, target, BITS, **_FTRL) for target in _targets(y)])
+
+
+def fit_all_domains(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> DomainModel:
+    """``fit_domains`` where the bounds hold all labelled rows that aren't held out, else means of the models of their shards."""
+    columns = ["quality", "toxic"]
+    shards = shards_of(documents, labels, columns, max_rows, max_chars)
+    if shards <= 1:
+        return fit_domains(documents, labels, max_rows, max_chars)
+    return _domain_model(fit_shards(documents, labels, columns, shards, _features, _targets, BITS, **_FTRL))
 
 
 _P = [f"_mix_p{k}" for k in range(len(DOMAINS))]
@@ -74,7 +98,7 @@ def with_posteriors(documents: DataFrame, model: DomainModel) -> DataFrame:
     held, at = documents.sparkSession.sparkContext.broadcast(model), documents.columns.index("text")  # its size is fixed by BITS
 
     def f(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Featurizer(BITS, "presence", pairs=False)
+        features = _features()
         for b in parts:
             p, tokens = held.value.posteriors(strings(b.column(at)), features)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tokens), *(pa.array(np.round(x, 6)) for x in p.T)], [*b.schema.names, "_mix_tokens", *_P])
@@ -214,11 +238,11 @@ def rates(documents: DataFrame, labels: DataFrame, weights: tuple[float, ...] =
     return scored.select("doc_id", domain.alias("domain"), F.col("_mix_tokens").alias("tokens"), *[F.col(c).alias(f"p_{n}") for c, n in zip(_P, DOMAINS, strict=True)], F.round(rate, 6).alias("rate"), _copies(rate, F.col("doc_id")).alias("copies"))
 
 
-def mix(documents: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """The rows, with all their columns, each as many times as its rate says."""
+def mix(documents: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, fit: Callable[[DataFrame, DataFrame], DomainModel] = fit_domains) -> DataFrame:
+    """The rows, with all their columns, each as many times as its rate says.  ``fit`` makes the model of domains from rows and labels."""
     names = documents.columns
     inner = [c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(names)]  # so that no column's name can clash
-    scored = _scored(documents.toDF(*inner), fit_domains(documents, labels), True)
+    scored = _scored(documents.toDF(*inner), fit(documents, labels), True)
     rate = close_rates(scored, fit_rates(scored, weights)).column()
     copies = _copies(rate, F.col("doc_id").cast("long"))
     rows = scored.withColumn("_mix_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))))

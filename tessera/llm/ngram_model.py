@@ -32,6 +32,12 @@ class Sparse:
         sums = np.concatenate(([0.0], np.cumsum(weights[self.buckets] * self.values, dtype=np.float64)))
         return sums[self.starts[1:]] - sums[self.starts[:-1]]
 
+    @staticmethod
+    def stacked(parts: list[Sparse]) -> Sparse:
+        """The rows of one or more parts, in their order."""
+        sizes = np.concatenate([np.diff(x.starts) for x in parts])
+        return Sparse(np.concatenate(([0], np.cumsum(sizes))), np.concatenate([x.buckets for x in parts]), np.concatenate([x.values for x in parts]))
+
 
 class Featurizer:
     """scale ``l2``: log counts of unit length; ``presence``: 1 for each feature that occurs.  pairs: use bigrams too."""

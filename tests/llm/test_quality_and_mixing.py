@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessera.llm import mixing, quality
 from tessera.llm.ngram_model import Featurizer, fit_ftrl
 
@@ -209,3 +210,35 @@ def test_the_documents_table_meets_its_targets(spark):
     assert (abs((tok * rate) @ p - target) <= 1e-3 * target.sum()).all() and (abs((tok * rate) @ p - target) <= 2e-3 * target).all()
     part = rate - np.floor(rate)
     assert (abs((tok * copies) @ p - target) <= 1e-3 * target.sum() + 4 * np.sqrt((part * (1 - part) * tok**2) @ p**2)).all()
+
+
+def test_the_pipeline_learns_from_all_labelled_rows(spark, tmp_path):
+    """Bad and toxic documents lie beyond the first 12,000 labelled rows by hash, where a bounded sample doesn't see them."""
+    ids = spark.range(20_000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("at"))
+    last = ids.where(~quality.held_out(F.col("doc_id"))).orderBy("at").limit(quality.MAX_ROWS).agg(F.max("at")).first()[0]
+    word = lambda k: F.concat(F.lit("w"), F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(50)))
+    late = F.col("at") > last
+    rows = ids.select("doc_id", late.alias("late"), F.concat_ws(" ", word(1), word(2), word(3), F.when(late, F.lit("marked"))).alias("text"))
+    docs = rows.repartition(4).cache()
+    assert 2000 < docs.where("late").count() < 8000
+    for name, quality_of, toxic_of in (("bad", "IF(late, 0, 1)", "0"), ("toxic", "1", "IF(late, 1, 0)")):
+        docs.selectExpr("doc_id", f"{quality_of} AS quality", f"{toxic_of} AS toxic").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    kept = {r.late: r["count"] for r in corpus_pipeline.quality_filter(spark, docs, f"{tmp_path}/bad").groupBy("late").count().collect()}
+    assert kept == {False: docs.where("NOT late").count()}
+    mixed = {r.late: r["count"] for r in corpus_pipeline.mixture(spark, docs, f"{tmp_path}/toxic").groupBy("late").count().collect()}
+    assert mixed.get(True, 0) < 0.1 * docs.where("late").count() and mixed[False] > 0.9 * docs.where("NOT late").count()
+
+
+def test_models_of_shards(spark, tables):
+    docs, labels, _, truth = tables
+    alone = quality.fit_shards(docs, labels, ["quality"], 1, lambda: Featurizer(quality.BITS), lambda y: [y[:, 0].astype(float)], quality.BITS)[0]
+    whole = quality.fit(docs, labels)
+    assert np.allclose(alone.weights, whole.weights, atol=1e-6) and abs(alone.bias - whole.bias) < 1e-9
+    assert (quality.fit_all(docs, labels).weights == whole.weights).all()
+    models = [quality.fit_all(d, labels, max_rows=200) for d in (docs, docs.union(docs.withColumn("text", F.lit(None))).repartition(5))]
+    assert quality.shards_of(docs, labels, ["quality"], max_rows=200) == 4
+    assert (models[0].weights == models[1].weights).all() and models[0].bias == models[1].bias
+    got = quality.score(docs, models[0]).where("held_out").collect()
+    assert sum(r.predicted == truth[r.doc_id][0] for r in got) >= 0.95 * len(got)
+    domains, every = mixing.fit_all_domains(docs, labels), mixing.fit_domains(docs, labels)
+    assert domains.biases == every.biases and all((a == b).all() for a, b in zip(domains.weights, every.weights, strict=True))
