@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tessera import blas
-from tessera.operators import level3
+from tessera.operators import level3, product
 from tessera.sources import batch_matrix, buffer, collect_matrix, matrix
 from tests.reference import flat, op, poison, random, same, sym, taken, tri
 
@@ -123,6 +123,31 @@ def test_grid_of_tiles(spark, m, n, k):
         same(collect_matrix(level3.gemm("n", "n", 1, matrix(spark, a), matrix(spark, b), strategy="tiles", tile=8, size=size), m, n), a @ b)
 
 
+@pytest.mark.parametrize("m,n,k", [(90, 70, 1), (65, 30, 17), (1, 40, 9)])
+def test_shallow_products_never_shuffle_the_result(spark, monkeypatch, m, n, k):
+    a, b = random(m, k), random(k, n).astype("float32").astype(float)
+    for least, panel in ((1, 1 << 20), (1000, 200)):
+        monkeypatch.setattr(product, "CELLS", 6)
+        monkeypatch.setattr(product, "LEAST", least)
+        monkeypatch.setattr(product, "PANEL", panel)
+        c = level3.gemm("n", "n", 1, matrix(spark, a), matrix(spark, b), strategy="tiles", tile=8)
+        plan = c._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan.split("MapInArrow")[0]
+        rows = c.collect()
+        assert len(rows) == len({(r.i, r.j) for r in rows}) == m * n
+        same([r.v for r in sorted(rows)], (a @ b).ravel())
+
+
+def test_shallow_products_of_matrices_with_holes(spark):
+    """Tiles without their zeros, and some that are missing, give the same sums."""
+    a, b = (np.where(random(*s) < 0, random(*s), 0) for s in ((50, 30), (30, 40)))
+    a[8:24], a[:, 8:16], b[:, 8:17] = 0, 0, 0
+    c = level3.gemm("n", "n", 1, matrix(spark, a).where("v <> 0"), matrix(spark, b).where("v <> 0"), strategy="tiles", tile=8)
+    same(collect_matrix(c, 50, 40), a @ b)
+    none = matrix(spark, a).where("i < 0")
+    assert level3.gemm("n", "n", 1, none, none, strategy="tiles", tile=8).count() == 0
+
+
 def test_offsets(spark):
     a, b, c = random(M, K), random(K, N), random(M, N)
     at = lambda x, off: np.concatenate((np.full(off, -5.0), flat(x, len(x))))
