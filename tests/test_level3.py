@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tessera import blas
-from tessera.operators import level3, product
+from tessera.operators import level3, product, solve
 from tessera.sources import batch_matrix, buffer, collect_matrix, matrix
 from tests.reference import flat, op, poison, random, same, sym, taken, tri
 
@@ -95,6 +95,23 @@ def test_trsm_many_columns_in_blocks(spark):
         level3.trsm("x", "u", "n", "n", 3, 3, 1, matrix(spark, a), matrix(spark, b))
 
 
+@pytest.mark.parametrize("side,uplo,trans,diag,cols", [("l", "l", "n", "n", 3), ("l", "u", "n", "u", 70), ("r", "l", "t", "n", 1)])
+def test_bands_are_solved_without_steps(spark, monkeypatch, side, uplo, trans, diag, cols):
+    """Many blocks that read few unknowns of others, one of them a far one, take a few rounds, not a step each."""
+    n = 300
+    a, i, j = random(n, n) / 8, *np.indices((n, n))
+    a[(abs(i - j) > 2) & ((i != 299) | (j != 7)) & ((i != 7) | (j != 299))] = 0
+    np.fill_diagonal(a, 5.0)
+    b = random(n, cols) if side == "l" else random(cols, n)
+    t = op(tri(a, uplo, diag), trans)
+    want = np.linalg.solve(t, b) if side == "l" else np.linalg.solve(t.T, b.T).T
+    monkeypatch.setattr(solve, "_stepwise", None)
+    x = level3.trsm(side, uplo, trans, diag, *b.shape, 1, matrix(spark, a).where("v <> 0"), matrix(spark, b), 16)
+    rows = x.collect()
+    assert len(rows) == b.size
+    same([r.v for r in sorted(rows)], want.ravel())
+
+
 @pytest.mark.parametrize("side", "lr")
 @pytest.mark.parametrize("uplo", "ul")
 @pytest.mark.parametrize("trans", "nt")
