@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tessera import blas
-from tessera.operators import level2
+from tessera.operators import level2, solve
 from tessera.sources import buffer, collect_vector, matrix, vector
 from tests.reference import band_of, banded, flat, op, packed, place, poison, random, same, strided, sym, taken, tri
 
@@ -123,6 +123,18 @@ def test_blocked_solve_and_zero_divisors(spark):
     assert level2.trsv("l", "n", "n", 0, matrix(spark, np.zeros((0, 0))), vector(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("uplo,trans", [("l", "t"), ("u", "t")])
+def test_bands_are_solved_without_steps(spark, monkeypatch, uplo, trans):
+    n = 150
+    a = random(n, n) / 8
+    np.fill_diagonal(a, 5.0)
+    a, x = band_of(a, 3, 2), random(n)
+    monkeypatch.setattr(solve, "_stepwise", None)
+    got = level2.trsv(uplo, trans, "n", n, matrix(spark, a).where("v <> 0"), vector(spark, x), block=16).collect()
+    assert len(got) == n
+    same([r.v for r in sorted(got)], np.linalg.solve(tri(a, uplo, "n").T, x))
+
+
 def test_errors(spark):
     d = buffer(spark, np.zeros(100))
     for call in (
